@@ -58,3 +58,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one driver table (parquet) lazily."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df, *keys, min_partitions: int | None = None):
+    """Hash-partition ``df`` on ``keys`` only when its scan yields fewer
+    partitions than the cluster can run at once (e.g. one small file with a
+    single row group), so CPU-heavy text expressions downstream are not run by
+    a single task.  Large inputs already arrive in many splits and are left
+    as they are: no shuffle is added at scale.  The partition count equals
+    ``spark.sql.shuffle.partitions`` so a later join or aggregation on the
+    same keys reuses this partitioning.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)

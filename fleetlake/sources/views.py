@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from ..spec import KARDEX_COLUMNS, header_ident
 
 # Fixture phrase lists (our own test vocabulary, indexed by key arithmetic).
@@ -60,7 +60,8 @@ def _pick(values, idx: Column) -> Column:
 
 def work_order_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw work orders: ``row_ix, sheet_name, vehicle_id`` + the 20 sheet columns."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"),
+                    "o_orderkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     lines = (
@@ -72,8 +73,13 @@ def work_order_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("qty"),
         )
     )
+    # The per-order aggregate grows with the data, so it is never broadcast:
+    # a sort-merge join reuses the aggregate's hash partitioning on the order
+    # key and only ``orders`` is shuffled.  (Left to itself, AQE would
+    # broadcast it at small scale and run everything after the single-split
+    # ``orders`` scan in one task.)
     base = (
-        orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+        orders.join(lines.hint("merge"), orders.o_orderkey == lines.l_orderkey, "left")
         .join(customer, orders.o_custkey == customer.c_custkey, "inner")
         .join(nation, customer.c_nationkey == nation.n_nationkey, "inner")
     )
