@@ -6,6 +6,8 @@ faults is one plan: numbering is a distributed prefix sum, closing is a join.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +34,21 @@ def next_fault_ids(existing: DataFrame, new: DataFrame, order, num_partitions: i
     No single-partition window: rows are range-partitioned on ``order`` and
     sorted inside partitions; each row's rank is its partition's offset (a
     prefix sum over per-partition counts — one small row per partition) plus
-    its position inside the partition.  The numbered rows are checkpointed to
-    the shared checkpoint folder so the counts and the rows come from the
-    same materialised partitions even if a task is re-run.
+    its position inside the partition.  Upstream work runs twice (range
+    sampling and the write), never more.
     """
     spark = new.sparkSession
-    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in order]
     ranged = (new.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    ranged = ranged.checkpoint(eager=True)
+    # Cut the lineage with a table written to the shared checkpoint folder:
+    # partition ids and positions are stored as columns, so the counts and
+    # the rows read back the same numbers even if tasks are re-run later.
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlake-ids-{uuid.uuid4().hex}"
+    ranged.write.parquet(folder)
+    ranged = spark.read.parquet(folder)
     # The existing maximum enters the prefix sum as a pseudo partition -1, so
     # every offset already includes it.  The table has one row per partition.
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")).unionByName(
