@@ -79,7 +79,7 @@ def q_fault_report(spark, sf):
     return stats.group_summary(good(spark, sf))
 
 
-def q_kardex_pipeline(spark, sf):
+def q_enriched_work_orders(spark, sf):
     return good(spark, sf)
 
 
@@ -398,7 +398,7 @@ def q_stack_sheets(spark, sf):
 
 QUERIES: dict[str, Query] = {
     "fault_report": q_fault_report,
-    "kardex_pipeline": q_kardex_pipeline,
+    "enriched_work_orders": q_enriched_work_orders,
     "quarantine": q_quarantine,
     "canonical_rename": q_canonical_rename,
     "optional_columns": q_optional_columns,

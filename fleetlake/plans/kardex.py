@@ -81,7 +81,7 @@ def quarantine(raw: DataFrame, spec: FormatSpec = KARDEX, keep=POSITION):
     return quality.split_quarantine(enrich(raw, spec, keep))
 
 
-def kardex_pipeline(raw: DataFrame, spec: FormatSpec = KARDEX, keep=POSITION) -> DataFrame:
+def good_work_orders(raw: DataFrame, spec: FormatSpec = KARDEX, keep=POSITION) -> DataFrame:
     """Good rows of the configured pipeline (the flagship plan)."""
     good, _ = quarantine(raw, spec, keep)
     return good

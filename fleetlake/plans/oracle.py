@@ -355,7 +355,7 @@ SELECT vehicle_type, severity, fault_category, count(*) AS n,
        CAST(sum(coalesce(TRY_CAST(cost AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2)))) AS DECIMAL(18,2)) AS total_cost
 FROM good GROUP BY vehicle_type, severity, fault_category""")
 
-ORACLE["kardex_pipeline"] = w(GOOD, "SELECT * FROM good")
+ORACLE["enriched_work_orders"] = w(GOOD, "SELECT * FROM good")
 
 ORACLE["quarantine"] = w(CLEAN, """
 SELECT row_ix, sheet_name, work_order, reject AS reason FROM enr WHERE reject IS NOT NULL""")

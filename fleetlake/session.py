@@ -42,16 +42,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder the cluster names.
 
-    On a cluster the setting names a shared folder and is used as is.  Only
-    when it is unset (local tests) a scratch folder is made and set.
+    Looks at ``spark.checkpoint.dir`` and at the context's checkpoint folder;
+    on a cluster one of them names a shared folder and is used as is.  Only
+    when neither is set (local tests) a scratch folder is made and set.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="fleetlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
+        try:
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+        except Exception:  # a static setting on some deployments; the context setting suffices
+            pass
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 

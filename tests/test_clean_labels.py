@@ -102,7 +102,7 @@ def test_dates_quarantine_and_nulls(spark):
 def test_duplicates_kept_and_mixed_types(spark):
     rows = [(1, "s", "123", "2024-01-01", "Test", "x"), (1, "s", "123", "2024-01-01", "Test", "x"),
             (2, "s", "ABC-789", "2024-01-01", "123", "y")]
-    good = K.kardex_pipeline(raw_df(spark, rows), KARDEX, ("row_ix", "sheet_name"))
+    good = K.good_work_orders(raw_df(spark, rows), KARDEX, ("row_ix", "sheet_name"))
     assert good.count() == 3
     assert sorted(r["work_order"] for r in good.collect()) == ["123", "123", "ABC789"]
 

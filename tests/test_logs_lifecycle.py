@@ -131,3 +131,16 @@ def test_fault_table_round_trip(spark, scratch):
     assert back.where("vehicle_type = 'A'").count() == 1
     js = sorted(r[0] for r in records_json(df).collect())
     assert js[0] == '{"vehicle_type":"A","work_order":"WO1","note":null}'
+
+
+def test_table_page_and_keyset_paging(spark):
+    from fleetlake.operators import query
+    df = spark.range(0, 95).select(F.format_string("WO%03d", (F.col("id") * 7) % 95).alias("work_order"),
+                                   F.col("id").alias("row_ix"))
+    p3 = [r["work_order"] for r in query.table_page(df, page=3, size=10).collect()]
+    assert p3 == [f"WO{i:03d}" for i in range(30, 40)]
+    last = query.table_page(df, page=2, size=10).collect()[-1]
+    nxt = [r["work_order"] for r in query.page_after(df, last["work_order"], last["row_ix"], size=10).collect()]
+    assert nxt == p3
+    hits = query.table_search(df, "wo09").count()
+    assert hits == 5
