@@ -7,7 +7,7 @@ to the entry before them; lines before the first prefix get a NULL time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The record layout of a log line.
@@ -34,32 +34,94 @@ def parse_lines(lines: DataFrame, col: str = "line", keep=()) -> DataFrame:
     )
 
 
-def read_log_files(spark: SparkSession, path: str) -> DataFrame:
-    """Read log files and stitch multi-line messages.
+HEAD = r"^\[(" + TS_PATTERN + r")\] ?"
 
-    Each file is read whole (``wholetext``), split before every prefixed
-    line, and each piece becomes one entry with its continuation lines kept
-    inside ``message``.  Suited to rotated log files; the per-file piece is
-    the unit of work.  Output: ``path, entry_ix, ts, message``.
+
+def read_log_files(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Log files -> entries ``path, ts, message`` with multi-line
+    messages stitched to the entry they continue.
+
+    Default: line level (``read_log_lines``), which splits large files across
+    tasks.  ``whole_files=True`` reads each file as one string instead (fine
+    for small rotated files; one file is then one task's input) and also
+    returns ``entry_ix``.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
-    return parse_text(files)
+    if whole_files:
+        files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
+        return parse_text(files)
+    return read_log_lines(spark, path)
 
 
 def parse_text(files: DataFrame, text_col: str = "value") -> DataFrame:
-    """Whole-text log -> entries (see ``read_log_files``)."""
+    """Whole-text log -> entries: the text is split before every prefixed
+    line; lines before the first prefix are entries of their own (NULL ts)."""
     pieces = F.split(F.col(text_col), r"\n(?=\[" + TS_PATTERN + r"\] )")
     exploded = files.select("path", F.posexplode(pieces).alias("entry_ix", "piece"))
     body = F.regexp_replace(F.col("piece"), r"\n$", "")
-    head = r"^\[(" + TS_PATTERN + r")\] ?"
-    has = body.rlike(head)
-    msg = F.when(has, F.regexp_replace(body, head, "")).otherwise(body)
-    return (exploded.select("path", "entry_ix",
-                            F.when(has, F.try_to_timestamp(F.regexp_extract(body, head, 1), F.lit(TS_FORMAT))).alias("ts"),
-                            msg.alias("message"))
+    has = body.rlike(HEAD)
+    # a leading piece without a prefix holds the lines before the first entry
+    lines = F.when(has, F.array(body)).otherwise(F.split(body, "\n"))
+    flat = exploded.select("path", "entry_ix", F.posexplode(lines).alias("sub", "text"))
+    has = F.col("text").rlike(HEAD)
+    msg = F.when(has, F.regexp_replace(F.col("text"), HEAD, "")).otherwise(F.col("text"))
+    return (flat.select("path", (F.col("entry_ix").cast("long") * 1_000_000 + F.col("sub")).alias("entry_ix"),
+                        F.when(has, F.try_to_timestamp(F.regexp_extract(F.col("text"), HEAD, 1), F.lit(TS_FORMAT))).alias("ts"),
+                        msg.alias("message"))
             .where(F.col("message") != ""))
 
 
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Line-level log reader for files of any size.
+
+    Lines keep their file position as (``split_start`` from the scan's file
+    metadata, ``line_id``: increasing within a split).  Each line is owned by
+    the last prefixed line before it: first within its own split (a window
+    per split, so a group is at most one split), then — for lines before the
+    first prefix of a split — by the last prefixed line of an earlier split
+    (a window over the one-row-per-split table).  Lines before any prefix of
+    the file are entries of their own.  Output: ``path, split_start,
+    line_id`` (of the entry's first line), ``ts``, ``message``.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("split_start"),
+        F.monotonically_increasing_id().alias("line_id"),
+        F.col("value").alias("line"))
+    return stitch_lines(lines)
+
+
+def stitch_lines(lines: DataFrame) -> DataFrame:
+    """``path, split_start, line_id, line`` -> entries (see ``read_log_lines``)."""
+    split = ["path", "split_start"]
+    is_head = F.col("line").rlike(HEAD)
+    in_split = Window.partitionBy(*split).orderBy("line_id").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("_head", is_head).withColumn(
+        "_own", F.last(F.when(F.col("_head"), F.col("line_id")), ignorenulls=True).over(in_split))
+    per_split = marked.groupBy(*split).agg(F.max(F.when(F.col("_head"), F.col("line_id"))).alias("_last"))
+    earlier = Window.partitionBy("path").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_split.select(
+        *split, F.last(F.when(F.col("_last").isNotNull(), F.struct(F.col("split_start").alias("s"),
+                                                                    F.col("_last").alias("l"))),
+                       ignorenulls=True).over(earlier).alias("_carry"))
+    owned = marked.join(carry, split, "left").select(
+        "path", "line_id", "split_start", "line",
+        F.when(F.col("_own").isNotNull(), F.col("split_start")).otherwise(F.col("_carry.s")).alias("_os"),
+        F.when(F.col("_own").isNotNull(), F.col("_own")).otherwise(F.col("_carry.l")).alias("_ol"))
+    # lines before any prefix in the file own themselves
+    owned = owned.select("path", "line", "split_start", "line_id",
+                         F.coalesce("_os", "split_start").alias("e_split"),
+                         F.coalesce("_ol", "line_id").alias("e_line"))
+    entries = owned.groupBy("path", "e_split", "e_line").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split_start", "line_id", "line"))),
+                                 lambda x: x["line"]), "\n").alias("text"))
+    has = F.col("text").rlike(HEAD)
+    return (entries.select(
+        "path", F.col("e_split").alias("split_start"), F.col("e_line").alias("line_id"),
+        F.when(has, F.try_to_timestamp(F.regexp_extract(F.col("text"), HEAD, 1), F.lit(TS_FORMAT))).alias("ts"),
+        F.when(has, F.regexp_replace(F.col("text"), HEAD, "")).otherwise(F.col("text")).alias("message"))
+        .where(F.col("message") != ""))
+
+
 def latest_logs(logs: DataFrame, n: int = INITIAL_PAGE, id_col: str = "log_id") -> DataFrame:
     """O3: the newest ``n`` entries, returned in ascending id (a top-k)."""
     return logs.orderBy(F.desc(id_col)).limit(n).orderBy(id_col)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_datetime
 from ..functions.keywords import MODEL_CATEGORIES
 from ..operators import clean, labels, lifecycle, logs, prompts, query, sheets, stats
+from ..session import table
 from ..sources import views
 from ..sources.workbook import admitted
 from ..spec import FAULT_TABLE_REQUIRED, KARDEX, ColumnSpec, FormatSpec, register_format
@@ -298,6 +299,26 @@ def q_log_parse(spark, sf):
     return parsed.select("log_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"), "message")
 
 
+LOG_SPLIT = 1500   # lines per simulated file split
+
+
+def q_log_stitch(spark, sf):
+    """W1 at line level: each event is a log line, errors carry a second
+    (continuation) line; lines are cut into splits so some entries straddle
+    a split boundary."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "event_type", "props")
+    head = F.struct((F.col("event_id") * 2).alias("line_id"),
+                    logs.format_line(F.col("ts"), F.col("event_type")).alias("line"))
+    cont = F.when(F.col("event_type") == "error",
+                  F.struct((F.col("event_id") * 2 + 1).alias("line_id"),
+                           F.concat(F.lit("  details "), F.coalesce(F.col("props"), F.lit(""))).alias("line")))
+    lines = (ev.select(F.lit("app.log").alias("path"), F.inline(F.array_compact(F.array(head, cont))))
+             .withColumn("split_start", F.floor(F.col("line_id") / LOG_SPLIT).cast("long") * LOG_SPLIT))
+    out = logs.stitch_lines(lines)
+    return out.select("path", "split_start", "line_id",
+                      F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"), "message")
+
+
 def q_render_prompt(spark, sf):
     g = good(spark, sf)
     return g.select("row_ix", prompts.render_named(
@@ -440,6 +461,7 @@ QUERIES: dict[str, Query] = {
     "log_retention": q_log_retention,
     "logs_after": q_logs_after,
     "log_parse": q_log_parse,
+    "log_stitch": q_log_stitch,
     "render_prompt": q_render_prompt,
     "history_prompt": q_history_prompt,
     "render_report": q_render_report,

@@ -674,3 +674,13 @@ SELECT * EXCLUDE (sheet_ix) FROM piv WHERE sheet_name IN ('AUTOMOBILE', 'FURNITU
 UNION ALL BY NAME
 SELECT path, sheet_name, row_ix, wo_no, open_date, nature_of_complaint, job_description
 FROM piv WHERE sheet_name IN ('BUILDING', 'HOUSEHOLD')""")
+
+ORACLE["log_stitch"] = w("""
+ev AS (SELECT event_id, ts, event_type, props FROM events)""", """
+SELECT 'app.log' AS path,
+       CAST(floor(event_id * 2 / 1500) * 1500 AS BIGINT) AS split_start,
+       event_id * 2 AS line_id,
+       strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts,
+       CASE WHEN event_type = 'error' THEN event_type || chr(10) || '  details ' || coalesce(props, '')
+            ELSE event_type END AS message
+FROM ev""")

@@ -20,7 +20,7 @@ def test_log_file_stitching(spark, scratch):
     path = os.path.join(scratch, "application.log")
     with open(path, "w") as f:
         f.write(LOG_TEXT)
-    entries = logs.read_log_files(spark, path).orderBy("entry_ix").collect()
+    entries = logs.read_log_files(spark, path, whole_files=True).orderBy("entry_ix").collect()
     assert len(entries) == 4
     assert entries[0]["ts"] is None and entries[0]["message"].startswith("=== Log Started")
     banner = entries[1]
@@ -29,6 +29,30 @@ def test_log_file_stitching(spark, scratch):
     assert entries[3]["message"] == "Error processing row 2: Invalid date format"
 
 
+def test_line_level_reader_matches_whole_file(spark, scratch):
+    path = os.path.join(scratch, "big.log")
+    parts = []
+    for i in range(3000):
+        parts.append(f"[2024-01-01 00:{i // 60 % 60:02d}:{i % 60:02d}.{i % 1000:03d}] entry {i}\n")
+        if i % 7 == 0:
+            parts.append(f"  continuation {i} a\n  continuation {i} b\n")
+    with open(path, "w") as f:
+        f.write("preamble line\n" + "".join(parts))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")     # force many splits
+    try:
+        lines = logs.read_log_lines(spark, path)
+        assert lines.select("split_start").distinct().count() > 3
+        got = sorted((str(r["ts"]), r["message"]) for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = sorted((str(r["ts"]), r["message"]) for r in logs.read_log_files(spark, path, whole_files=True).collect())
+    assert got == want
+    assert len(got) == 3001
+    assert ("None", "preamble line") in got
+    assert any(m == "entry 7\n  continuation 7 a\n  continuation 7 b" for _, m in got)
+
+
 def test_latest_after_and_retention(spark):
     df = spark.range(0, 2500).select(F.col("id").alias("log_id"), F.current_timestamp().alias("ts"),
                                      F.concat(F.lit("m"), F.col("id").cast("string")).alias("message"))
