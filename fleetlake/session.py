@@ -76,7 +76,10 @@ def spread(df, *keys, min_partitions: int | None = None):
     same keys reuses this partitioning.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= want:
+            return df
+    except Exception:  # no RDD view of the plan (e.g. a remote session): leave the plan as it is
         return df
     return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
