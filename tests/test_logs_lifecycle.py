@@ -168,3 +168,29 @@ def test_table_page_and_keyset_paging(spark):
     assert nxt == p3
     hits = query.table_search(df, "wo09").count()
     assert hits == 5
+
+
+def test_append_log_export_and_missing_columns(spark, scratch):
+    from fleetlake.operators.clean import missing_columns_per_file
+    from fleetlake.sources.sinks import export_table
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "log_id bigint, message string").withColumn(
+        "ts", F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    out = os.path.join(scratch, "applog")
+    logs.append_log(df, out)
+    logs.append_log(df, out)
+    back = spark.read.parquet(out)
+    assert back.count() == 4 and [r["day"] for r in back.select("day").distinct().collect()][0].isoformat() == "2024-01-02"
+    export_table(df.select("log_id", "message"), os.path.join(scratch, "csv"))
+    assert spark.read.option("header", True).csv(os.path.join(scratch, "csv")).count() == 2
+    headers = spark.createDataFrame([("f1", "WO No"), ("f1", "Open Date"), ("f2", "WO No")], "path string, header string")
+    miss = {r["path"]: r["missing"] for r in missing_columns_per_file(headers, ["WO No", "Open Date"]).collect()}
+    assert miss == {"f1": [], "f2": ["Open Date"]}
+
+
+def test_complaint_included_when_asked(spark):
+    from fleetlake.operators import labels
+    df = spark.createDataFrame([("replace part", "Brake squeal", "x")],
+                               "description string, nature_of_complaint string, _desc_raw string")
+    off = labels.extract_components(df).first()["component"]
+    on = labels.extract_components(df, include_complaint=True).first()["component"]
+    assert off is None and on == "brake"
