@@ -22,15 +22,21 @@ from .keywords import (
 from .text import contains_any, count_present
 
 
-def components(lc: Column) -> Column:
-    """Sorted distinct component names joined with ', ', NULL when none.
+def components_joined(lc: Column) -> Column:
+    """Sorted distinct component names joined with ', ' ('' when none).
 
-    One regex alternation per component (ten terms) keeps the generated code
-    small; ``concat_ws`` skips the NULLs of non-matching components.
+    One OR-chain of ``contains`` per component; ``concat_ws`` skips the NULLs
+    of non-matching components, so the names come out sorted and distinct.
     """
     parts = [F.when(contains_any(lc, COMPONENT_KEYWORDS[name]), F.lit(name))
              for name in sorted(COMPONENT_KEYWORDS)]
-    joined = F.concat_ws(", ", *parts)
+    return F.concat_ws(", ", *parts)
+
+
+def components(lc: Column) -> Column:
+    """``components_joined`` with NULL for none (the expression is used
+    twice: project it as a column first when it feeds a large plan)."""
+    joined = components_joined(lc)
     return F.when(joined != "", joined)
 
 
@@ -74,6 +80,11 @@ def keyword_category(complaint: Column, description: Column) -> Column:
     last category that would have overwritten the others."""
     text = F.concat(F.coalesce(F.lower(complaint), F.lit("")), F.lit(" "),
                     F.coalesce(F.lower(description), F.lit("")))
+    return keyword_category_of(text)
+
+
+def keyword_category_of(text: Column) -> Column:
+    """P18 over an already lower-cased complaint + ' ' + description text."""
     expr = None
     for name, words in reversed(list(FAULT_CATEGORY_KEYWORDS.items())):
         cond = contains_any(text, words)

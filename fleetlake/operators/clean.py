@@ -168,7 +168,8 @@ def clean_description(df: DataFrame, col: str = "description") -> DataFrame:
     """P12; the raw value is kept in ``_desc_raw`` for the label guards."""
     if "_desc_raw" not in df.columns:
         df = df.withColumn("_desc_raw", F.col(col))
-    return df.withColumn(col, collapse_description(F.col(col)))
+    # label text derived from the old description is stale now
+    return df.drop("_lc", "_lcc").withColumn(col, collapse_description(F.col(col)))
 
 
 def fill_strip_text(df: DataFrame, cols=("description", "status", "category")) -> DataFrame:

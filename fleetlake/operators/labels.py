@@ -8,14 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 
 
-def _label_text(df: DataFrame, include_complaint: bool):
-    """Lower-cased search text.  By default the description alone (the
-    complaint text never reaches the matcher in the original flow, SURVEY C1);
-    ``include_complaint=True`` appends it as the code comments intend."""
+LABEL_TEXT = "_lc"
+LABEL_TEXT_WITH_COMPLAINT = "_lcc"
+
+
+def with_label_text(df: DataFrame, include_complaint: bool = False) -> tuple[DataFrame, str]:
+    """Add the lower-cased search text as its own column (once).
+
+    By default the description alone (the complaint text never reaches the
+    matcher in the original flow, SURVEY C1); ``include_complaint=True``
+    appends it as the code comments intend.  Keeping it a separate column
+    matters: dozens of keyword tests read it, and the optimizer does not
+    inline a column that many expressions share, so the text is lower-cased
+    once per row instead of once per keyword.
+    """
+    name = LABEL_TEXT_WITH_COMPLAINT if include_complaint else LABEL_TEXT
+    if name in df.columns:
+        return df, name
     text = F.lower(F.coalesce(F.col("description"), F.lit("")))
     if include_complaint:
         text = F.concat(text, F.lit(" "), F.lower(F.coalesce(F.col("nature_of_complaint"), F.lit(""))))
-    return text
+    return df.withColumn(name, text), name
 
 
 def _raw_desc(df: DataFrame):
@@ -24,7 +37,8 @@ def _raw_desc(df: DataFrame):
 
 def extract_severity(df: DataFrame, include_complaint: bool = False, with_scores: bool = False) -> DataFrame:
     """Weighted keyword severity; a raw '' description gets no severity."""
-    scores = L.severity_scores(_label_text(df, include_complaint))
+    df, lc = with_label_text(df, include_complaint)
+    scores = L.severity_scores(F.col(lc))
     sev = L.severity_from_scores(F.col("severity_high"), F.col("severity_medium"), F.col("severity_low"))
     out = (df.withColumns({"severity_high": scores["high"], "severity_medium": scores["medium"],
                            "severity_low": scores["low"]})
@@ -34,17 +48,22 @@ def extract_severity(df: DataFrame, include_complaint: bool = False, with_scores
 
 def extract_components(df: DataFrame, include_complaint: bool = False) -> DataFrame:
     """Multi-label component string; NULL when none or raw '' description."""
-    comp = L.components(_label_text(df, include_complaint))
-    return df.withColumn("component", F.when(F.coalesce(_raw_desc(df), F.lit("x")) != "", comp))
+    df, lc = with_label_text(df, include_complaint)
+    # the joined names are projected once, then tested and used
+    out = df.withColumn("_comp", L.components_joined(F.col(lc)))
+    keep = (F.coalesce(_raw_desc(df), F.lit("x")) != "") & (F.col("_comp") != "")
+    return out.withColumn("component", F.when(keep, F.col("_comp"))).drop("_comp")
 
 
 def classify_fault_category(df: DataFrame) -> DataFrame:
     """First-match rule cascade."""
-    return df.withColumn("fault_category",
-                         L.rule_category(F.lower(F.col("description")), F.col("category")))
+    df, lc = with_label_text(df)
+    return df.withColumn("fault_category", L.rule_category(F.col(lc), F.col("category")))
 
 
 def keyword_fault_category(df: DataFrame, complaint: str = "nature_of_complaint",
                            description: str = "description", out: str = "fault_category_kw") -> DataFrame:
     """Last-match keyword categories over complaint + description."""
-    return df.withColumn(out, L.keyword_category(F.col(complaint), F.col(description)))
+    text = F.concat(F.coalesce(F.lower(F.col(complaint)), F.lit("")), F.lit(" "),
+                    F.coalesce(F.lower(F.col(description)), F.lit("")))
+    return df.withColumn("_kt", text).withColumn(out, L.keyword_category_of(F.col("_kt"))).drop("_kt")

@@ -73,7 +73,7 @@ def enrich(raw: DataFrame, spec: FormatSpec = KARDEX, keep=POSITION) -> DataFram
     if "_reject" not in df.columns:
         df = df.withColumn("_reject", F.lit(None).cast("string"))
     df = quality.row_validity(df)
-    return df.drop("_desc_raw")
+    return df.drop("_desc_raw", "_lc", "_lcc")
 
 
 def quarantine(raw: DataFrame, spec: FormatSpec = KARDEX, keep=POSITION):
