@@ -28,7 +28,7 @@ def components_joined(lc: Column) -> Column:
     One OR-chain of ``contains`` per component; ``concat_ws`` skips the NULLs
     of non-matching components, so the names come out sorted and distinct.
     """
-    parts = [F.when(contains_any(lc, COMPONENT_KEYWORDS[name]), F.lit(name))
+    parts = [F.when(contains_any(lc, COMPONENT_KEYWORDS[name], ws_runs=True), F.lit(name))
              for name in sorted(COMPONENT_KEYWORDS)]
     return F.concat_ws(", ", *parts)
 
@@ -42,14 +42,14 @@ def components(lc: Column) -> Column:
 
 def component_array(lc: Column) -> Column:
     """Same labels as an ARRAY<STRING> (empty array when none)."""
-    parts = [F.when(contains_any(lc, COMPONENT_KEYWORDS[name]), F.lit(name))
+    parts = [F.when(contains_any(lc, COMPONENT_KEYWORDS[name], ws_runs=True), F.lit(name))
              for name in sorted(COMPONENT_KEYWORDS)]
     return F.array_compact(F.array(*parts))
 
 
 def severity_scores(lc: Column) -> dict[str, Column]:
     """Weighted score per level: distinct keyword hits x weight."""
-    return {level: (count_present(lc, kws) * F.lit(SEVERITY_WEIGHTS[level])).cast("int")
+    return {level: (count_present(lc, kws, ws_runs=True) * F.lit(SEVERITY_WEIGHTS[level])).cast("int")
             for level, kws in SEVERITY_KEYWORDS.items()}
 
 
@@ -67,7 +67,7 @@ def rule_category(lc: Column, cat: Column) -> Column:
     code = F.coalesce(cat, F.lit(""))
     expr = None
     for name, words, codes in CATEGORY_RULES:
-        cond = contains_any(text, words)
+        cond = contains_any(text, words, ws_runs=True)
         for c in codes:
             cond = cond | (code == F.lit(c))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))

@@ -36,29 +36,54 @@ def keep_alnum(c) -> Column:
     return F.regexp_replace(col_(c), NON_ALNUM, "")
 
 
-def contains_any(text: Column, keywords) -> Column:
+def _hit(text: Column, k: str, ws_runs: bool) -> Column:
+    """``k`` occurs in ``text``.  With ``ws_runs`` the space inside a
+    multi-word keyword matches any run of white space, i.e. the test equals a
+    substring test on the white-space-collapsed text (single words match the
+    same either way), without collapsing the text; the regex only runs when
+    the words are all present."""
+    if not ws_runs or " " not in k:
+        return text.contains(k)
+    words = k.split(" ")
+    cond = None
+    for w in words:
+        c = text.contains(w)
+        cond = c if cond is None else (cond & c)
+    pattern = f"{WS_CLASS}+".join(r"\Q" + w + r"\E" for w in words)
+    return cond & text.rlike(pattern)
+
+
+def _minimal(keywords) -> list[str]:
+    """Drop keywords that contain another keyword of the list: for an
+    any-of test they can never change the result."""
+    ws = list(dict.fromkeys(keywords))
+    return [k for k in ws if not any(o != k and o in k for o in ws)]
+
+
+def contains_any(text: Column, keywords, ws_runs: bool = False) -> Column:
     """True if any keyword occurs as a substring.
 
     An OR-chain of ``contains`` (a byte search per keyword, short-circuited)
     measured about 8x faster than one regex alternation or ``instr`` on the
-    same keyword lists.
+    same keyword lists.  Single words are tested first, multi-word ones last.
     """
+    ks = sorted(_minimal(keywords), key=lambda k: " " in k)
     cond = None
-    for k in dict.fromkeys(keywords):
-        c = text.contains(k)
+    for k in ks:
+        c = _hit(text, k, ws_runs)
         cond = c if cond is None else (cond | c)
     return cond
 
 
-def count_present(text: Column, keywords) -> Column:
+def count_present(text: Column, keywords, ws_runs: bool = False) -> Column:
     """Number of distinct keywords occurring as substrings.
 
-    ``size(array_compact(array(when(contains(k), 1), ...)))``: one cheap byte
-    search per keyword and no chain of overflow-checked additions, so the
-    generated code stays small even when the optimizer copies the expression
-    into a pushed-down filter.
+    ``size(array_compact(array(when(hit, 1), ...)))``: one cheap byte search
+    per keyword and no chain of overflow-checked additions, so the generated
+    code stays small even when the optimizer copies the expression into a
+    pushed-down filter.
     """
-    hits = [F.when(text.contains(k), F.lit(1)) for k in dict.fromkeys(keywords)]
+    hits = [F.when(_hit(text, k, ws_runs), F.lit(1)) for k in dict.fromkeys(keywords)]
     return F.size(F.array_compact(F.array(*hits)))
 
 

@@ -15,17 +15,21 @@ LABEL_TEXT_WITH_COMPLAINT = "_lcc"
 def with_label_text(df: DataFrame, include_complaint: bool = False) -> tuple[DataFrame, str]:
     """Add the lower-cased search text as its own column (once).
 
-    By default the description alone (the complaint text never reaches the
-    matcher in the original flow, SURVEY C1); ``include_complaint=True``
-    appends it as the code comments intend.  Keeping it a separate column
-    matters: dozens of keyword tests read it, and the optimizer does not
-    inline a column that many expressions share, so the text is lower-cased
-    once per row instead of once per keyword.
+    The text is the *raw* description (``_desc_raw`` when the description
+    has been cleaned): keyword tests treat the space of a multi-word keyword
+    as any run of white space, which is exactly a test on the collapsed
+    text, so the collapse regex is not needed here.  That keeps the text
+    cheap even where the optimizer inlines it into a pushed-down filter once
+    per keyword.  By default the description alone (the complaint never
+    reaches the matcher in the original flow, SURVEY C1);
+    ``include_complaint=True`` appends it.  Projected as a column, many
+    keyword tests share one lower-casing per row.
     """
     name = LABEL_TEXT_WITH_COMPLAINT if include_complaint else LABEL_TEXT
     if name in df.columns:
         return df, name
-    text = F.lower(F.coalesce(F.col("description"), F.lit("")))
+    desc = F.col("_desc_raw") if "_desc_raw" in df.columns else F.col("description")
+    text = F.lower(F.coalesce(desc, F.lit("")))
     if include_complaint:
         text = F.concat(text, F.lit(" "), F.lower(F.coalesce(F.col("nature_of_complaint"), F.lit(""))))
     return df.withColumn(name, text), name
