@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from ..spec import KARDEX_COLUMNS, header_ident
+from ..spec import KARDEX_COLUMNS
 
 # Fixture phrase lists (our own test vocabulary, indexed by key arithmetic).
 DESCRIPTIONS = [
