@@ -6,13 +6,10 @@ faults is one plan: numbering is a distributed prefix sum, closing is a join.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from .ranking import ranged_table
 
 ID_PREFIX = "F"
 
@@ -35,26 +32,9 @@ def next_fault_ids(existing: DataFrame, new: DataFrame, order, num_partitions: i
     No single-partition window: rows are range-partitioned on ``order`` and
     sorted inside partitions; each row's rank is its partition's offset (a
     prefix sum over per-partition counts — one small row per partition) plus
-    its position inside the partition.  The batch is persisted for the two
-    passes that need it (range sampling and the write), so its upstream plan
-    runs once.
+    its position inside the partition (``ranking.ranged_table``).
     """
-    spark = new.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in order]
-    # Range sampling and the write both read ``new``; keep it (spilling to
-    # disk as needed) so its upstream plan runs once.
-    new = new.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = (new.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    # Cut the lineage with a table written to the shared checkpoint folder:
-    # partition ids and positions are stored as columns, so the counts and
-    # the rows read back the same numbers even if tasks are re-run later.
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlake-ids-{uuid.uuid4().hex}"
-    ranged.write.parquet(folder)
-    new.unpersist()
-    ranged = spark.read.parquet(folder)
+    ranged = ranged_table(new, list(order), num_partitions)
     # The existing maximum enters the prefix sum as a pseudo partition -1, so
     # every offset already includes it.  The table has one row per partition.
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")).unionByName(

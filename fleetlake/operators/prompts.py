@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keywords import FAULT_CATEGORY_DEFAULT, MODEL_CATEGORIES
+from .ranking import rank_within
 
 # ---------------------------------------------------------------------------
 # Prompt, query and report templates (text must equal the
@@ -153,15 +154,18 @@ def history_prompts(df: DataFrame, block: int = 1000, vehicle_col: str = "vehicl
                     date_col: str = "date", text_col: str = "description") -> DataFrame:
     """A history prompt per vehicle, in pages.
 
-    Entries ``"<date>: <text>"`` ordered by (date, row_ix).  A vehicle's
-    history is cut into pages by ``row_ix // block`` so that one page holds
-    at most ``block`` entries whatever the vehicle's size; every entry is
-    kept.  Output: ``vehicle_id, page, n_entries, prompt``.
+    Entries ``"<date>: <text>"`` ordered by (date, row_ix).  Each vehicle's
+    entries are ranked in that order (``ranking.rank_within``: no group is
+    sorted by one task) and cut into pages of ``block`` consecutive entries,
+    so one page holds at most ``block`` entries however long the history;
+    every entry is kept.  Output: ``vehicle_id, page, n_entries, prompt``.
     """
     line = F.concat_ws(": ", F.coalesce(F.col(date_col), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
-    entries = df.select(F.col(vehicle_col).alias("vehicle_id"),
-                        F.floor(F.col("row_ix") / block).cast("long").alias("page"),
-                        F.struct(F.col(date_col).alias("d"), F.col("row_ix").alias("r"), line.alias("t")).alias("e"))
+    base = df.select(F.col(vehicle_col).alias("vehicle_id"), F.col(date_col).alias("d"),
+                     F.col("row_ix").alias("r"), line.alias("t"))
+    ranked = rank_within(base, ["vehicle_id"], ["d", "r"], out="_rank")
+    entries = ranked.select("vehicle_id", F.floor((F.col("_rank") - 1) / block).cast("long").alias("page"),
+                            F.struct("_rank", "t").alias("e"))
     pages = entries.groupBy("vehicle_id", "page").agg(
         F.count(F.lit(1)).alias("n_entries"),
         F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["t"]), "\n").alias("history"))

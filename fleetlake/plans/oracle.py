@@ -538,10 +538,15 @@ SELECT row_ix, {_fill(TEMPLATE_CLASSIFY, complaint='nature_of_complaint', descri
 FROM good""")
 
 ORACLE["history_prompt"] = w(GOOD, f""",
+ranked AS (
+  SELECT vehicle_id, date, row_ix, description,
+         row_number() OVER (PARTITION BY vehicle_id ORDER BY date, row_ix) AS rk
+  FROM good
+),
 pages AS (
-  SELECT vehicle_id, CAST(floor(row_ix / 1000) AS BIGINT) AS page, count(*) AS n_entries,
-         string_agg(coalesce(date, '') || ': ' || coalesce(description, ''), chr(10) ORDER BY date, row_ix) AS history
-  FROM good GROUP BY ALL
+  SELECT vehicle_id, CAST((rk - 1) // 1000 AS BIGINT) AS page, count(*) AS n_entries,
+         string_agg(coalesce(date, '') || ': ' || coalesce(description, ''), chr(10) ORDER BY rk) AS history
+  FROM ranked GROUP BY ALL
 )
 SELECT vehicle_id, page, n_entries, {_fill(TEMPLATE_HISTORY, vehicle_id='vehicle_id', history_data='history')} AS prompt
 FROM pages""")

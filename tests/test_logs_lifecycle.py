@@ -194,3 +194,22 @@ def test_complaint_included_when_asked(spark):
     off = labels.extract_components(df).first()["component"]
     on = labels.extract_components(df, include_complaint=True).first()["component"]
     assert off is None and on == "brake"
+
+
+def test_rank_within_hot_group_spans_partitions(spark):
+    from fleetlake.operators.ranking import rank_within
+    # group 'hot' holds a third of the rows; ties on 'd' are broken by the unique 'k'
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 50).cast("string"))).alias("g"),
+        (F.col("id") % 7).alias("d"), F.col("id").alias("k"))
+    out = rank_within(df, ["g"], ["d", "k"], num_partitions=12)
+    rows = out.collect()
+    assert len(rows) == 3000
+    by = {}
+    for r in rows:
+        by.setdefault(r["g"], []).append(r)
+    for g, rs in by.items():
+        want = {x["k"]: i + 1 for i, x in enumerate(sorted(rs, key=lambda x: (x["d"], x["k"])))}
+        assert all(r["rank"] == want[r["k"]] for r in rs), g
+    hot_parts = out.where("g = 'hot'").select(F.spark_partition_id()).distinct().count()
+    assert hot_parts > 1
