@@ -38,9 +38,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_code()
     return spark
 
 
+def ship_code() -> None:
+    """Serialise this package's functions by value when Spark sends them to
+    Python workers (``mapInPandas`` parsers and scorers), so executors need
+    no installed copy of the package.  Installed copies work as well."""
+    import fleetlake
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(fleetlake)
+    except Exception:  # already registered, or an older serializer without this hook
+        pass
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
