@@ -39,10 +39,13 @@ def ranged_table(df: DataFrame, keys, num_partitions: int | None = None) -> Data
     passes that read it (sampling and the write), so its plan runs once.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in keys]
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = (src.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    # Without an explicit count AQE may merge small range partitions; it only
+    # merges neighbours, so partition order still follows the key order.
+    parts = (src.repartitionByRange(num_partitions, *cols) if num_partitions
+             else src.repartitionByRange(*cols))
+    ranged = (parts.sortWithinPartitions(*cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(POS_MASK))))
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlake-ranked-{uuid.uuid4().hex}"
