@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlake.llm._common import written
+from fleetlake.llm.word_bpe import encoder
 from fleetlake.session import ship_code
 
 #: Texts tokenized by one call; bounds the memory that encodings take.
@@ -42,24 +42,18 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                            F.spark_partition_id().cast("long").alias("split_at"))
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer, at, total = Tokenizer.from_str(model.value), None, 0
+        ids_of, end, at, total = encoder(model.value), end_id.to_bytes(4, "little"), None, 0
         for part in parts:
             size = part["text"].str.len().cumsum() // BATCH_CHARS
             for _, some in part.groupby(size, sort=False):
-                ids = [np.array([*e.ids, end_id], dtype="<u4") for e in tokenizer.encode_batch_fast(some["text"].tolist(), add_special_tokens=False)]
-                starts = []
+                ids, starts = [x + end for x in ids_of(some["text"].tolist())], []
                 for key, x in zip(zip(some["split_file"], some["split_at"]), ids):
                     if key != at:
                         at, total = key, 0
                     starts.append(total)
-                    total += len(x)
+                    total += len(x) // 4
                 yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "split_file": some["split_file"], "split_at": some["split_at"],
-                                    "start": starts, "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
+                                    "start": starts, "n": [len(x) // 4 for x in ids], "ids": ids})
 
     return rows.mapInPandas(encode, "doc_id long, split_file string, split_at long, start long, n long, ids binary")
 
