@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from fleetlake.llm import chat, mixing, packing, quality, sharding
+from fleetlake.llm import chat, minhash, mixing, packing, quality, repeats, sharding
 from fleetlake.llm._common import table
 
 
@@ -21,7 +21,9 @@ QUERIES = {
     "op1_pfair_mix": lambda spark, d: mixing.mix_query(table(spark, d, "documents")),
     "op2_lpt_shards": lambda spark, d: sharding.shard_query(table(spark, d, "documents")),
     "op3_divergence_quality": lambda spark, d: quality.quality_query(table(spark, d, "documents")),
+    "op6_maximal_repeats": lambda spark, d: repeats.repeats_query(table(spark, d, "documents")),
     "op7_chat_format": lambda spark, d: chat.chat_query(table(spark, d, "conversations")),
+    "op8_tensored_minhash": lambda spark, d: minhash.near_query(table(spark, d, "documents")),
     "op10_concat_and_cut": lambda spark, d: packing.piece_digest(packing.pack(table(spark, d, "documents"), tokenizer_path())),
 }
 
