@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from fleetlake.llm import chat, minhash, mixing, packing, quality, repeats, sharding
+from fleetlake.llm import chat, hamming, html, minhash, mixing, packing, quality, repeats, sharding, toxicity
 from fleetlake.llm._common import table
 
 
@@ -21,10 +21,13 @@ QUERIES = {
     "op1_pfair_mix": lambda spark, d: mixing.mix_query(table(spark, d, "documents")),
     "op2_lpt_shards": lambda spark, d: sharding.shard_query(table(spark, d, "documents")),
     "op3_divergence_quality": lambda spark, d: quality.quality_query(table(spark, d, "documents")),
+    "op4_toxicity_chain": lambda spark, d: toxicity.toxicity_query(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op5_incremental_mih": lambda spark, d: hamming.search_query(table(spark, d, "embeddings")),
     "op6_maximal_repeats": lambda spark, d: repeats.repeats_query(table(spark, d, "documents")),
     "op7_chat_format": lambda spark, d: chat.chat_query(table(spark, d, "conversations")),
     "op8_tensored_minhash": lambda spark, d: minhash.near_query(table(spark, d, "documents")),
+    "op9_host_path_text": lambda spark, d: html.main_text(table(spark, d, "pages")),
     "op10_concat_and_cut": lambda spark, d: packing.piece_digest(packing.pack(table(spark, d, "documents"), tokenizer_path())),
 }
 
-ORACLE = {"op7_chat_format": chat.CHAT_SQL}
+ORACLE = {"op5_incremental_mih": hamming.SEARCH_SQL, "op7_chat_format": chat.CHAT_SQL}
