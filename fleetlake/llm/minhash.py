@@ -99,17 +99,17 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def signatures(docs: DataFrame, bands: int, rows: int, sketched: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, cls, a, b, sketch): ``cls`` names the set
     of shingles (two documents have one cls if their sets are equal; null for an
     empty set), ``a`` and ``b`` are the half keys, ``sketch`` has four bits of
-    each minhash."""
+    each of ``sketched`` minhashes, among them those of the half keys."""
     ship_code()
     text = F.coalesce("text", F.lit(""))
 
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(8)
-        n_hashes = 2 * bands * rows
+        n_hashes = max(sketched, 2 * bands * rows)
         flip = rng.integers(0, 2**63, n_hashes, dtype=np.uint64)
         factor = rng.integers(0, 2**63, n_hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         shingler = Shingler()
@@ -129,9 +129,9 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     least = np.stack([np.minimum.reduceat((every ^ f) * m, starts) for f, m in zip(flip, factor)], axis=1)
                     half = np.zeros((len(full), 2 * bands), dtype=np.uint64)
                     for r in range(rows):
-                        half = _mix(half * np.uint64(31) + least[:, r :: rows] + np.arange(2 * bands, dtype=np.uint64))
+                        half = _mix(half * np.uint64(31) + least[:, r : 2 * bands * rows : rows] + np.arange(2 * bands, dtype=np.uint64))
                     half = half.view(np.int64)
-                    nibbles = _mix(least) & np.uint64(15)
+                    nibbles = _mix(least[:, :sketched]) & np.uint64(15)
                     nibbles = np.pad(nibbles, ((0, 0), (0, -nibbles.shape[1] % 16))).reshape(len(full), -1, 16)
                     sketches = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
                     for x, k in enumerate(full):
@@ -158,7 +158,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 def table_rows(classes: DataFrame) -> DataFrame:
     """(key, cls, met): the classes in each bucket of two or more, and how many
-    classes the tables have in such buckets.
+    these are.
 
     A key is shared only if both its halves are, so half keys are counted
     first and only shared halves are paired."""
@@ -167,10 +167,8 @@ def table_rows(classes: DataFrame) -> DataFrame:
     mine = halves.join(shared, "h").groupBy("cls").agg(
         F.collect_set(F.when(F.col("side") == 0, F.col("h"))).alias("a"), F.collect_set(F.when(F.col("side") == 1, F.col("h"))).alias("b"))
     keys = written(mine.select("cls", "b", F.explode("a").alias("x")).select("cls", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "cls"), "tables")
-    # buckets of the same classes are one bucket, met as often as there are of it
-    members = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("f"), F.sum(F.hash("cls").cast("long")).alias("g")).filter("size > 1")
-    buckets = members.groupBy("size", "f", "g").agg(F.min("key").alias("key"), F.sum("size").alias("met")).select("key", "met")
-    return written(keys.join(buckets, "key"), "buckets")
+    shared = keys.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1")
+    return written(keys.join(shared, "key"), "buckets")
 
 
 def alike(n_hashes: int, least: int):
@@ -209,7 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def linked(docs: DataFrame, bands: int = 16, rows: int = 3, percent: int = 75, agree: int = 57) -> DataFrame:
+def linked(docs: DataFrame, bands: int = 16, rows: int = 3, percent: int = 75, sketched: int = 384, agree: int = 262) -> DataFrame:
     """One row for each document: (doc_id, text_hash, n_shingles, component_id,
     kept).
 
@@ -220,13 +218,13 @@ def linked(docs: DataFrame, bands: int = 16, rows: int = 3, percent: int = 75, a
 
     Documents with equal sets are one class and need no links.  In a bucket,
     first every class is held against the one that meets most others in all
-    tables: a group of copies is linked through its centre.  Only in buckets
-    that are then not of one component, classes of different components are
-    held against each other.  A pair goes on to its full sets if its sizes
-    allow the similarity and ``agree`` of its minhashes are the same in four
-    bits (at similarity 0.75, 73 of 96 are expected, and fewer than 57 have a
-    probability of about 0.0001)."""
-    sigs = written(signatures(docs, bands, rows), "signatures")
+    tables: a group of copies is linked through its centre.  Only classes of
+    buckets that are then not of one component are held against those of other
+    components.  A pair goes on to its full sets if its sizes allow the
+    similarity and ``agree`` of its ``sketched`` minhashes are the same in four
+    bits (at similarity 0.75, 294 of 384 are expected, and fewer than 262 have
+    a probability of about 0.0001)."""
+    sigs = written(signatures(docs, bands, rows, sketched), "signatures")
     classes = written(sigs.filter("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("sketch").alias("sketch")), "classes")
     buckets = table_rows(classes)
@@ -237,22 +235,26 @@ def linked(docs: DataFrame, bands: int = 16, rows: int = 3, percent: int = 75, a
              .select("cls", "text").dropDuplicates(["cls"]))
     sets = written(shingle_sets(texts), "sets")
 
-    near = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & alike(2 * bands * rows, agree)
-    central = buckets.groupBy("cls").agg(F.sum("met").alias("meets"))
-    known = written(buckets.join(central, "cls").join(classes.select("cls", "n", "sketch"), "cls").select("key", "cls", "meets", "n", "sketch"), "members")
-    lead = known.groupBy("key").agg(F.max(F.struct("meets", "cls", "n", "sketch")).alias("lead")).select("key", F.col("lead.cls").alias("y"), F.col("lead.n").alias("ny"), F.col("lead.sketch").alias("my"))
-    member = known.select("key", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("mx"))
-    pairs = member.join(lead, "key").filter((F.col("x") != F.col("y")) & near).select("x", "y").distinct()
-    edges = written(confirmed(pairs, sets, percent), "edges")
+    # a group of copies is linked through its centre
+    about = classes.select("cls", "n", "sketch")
+    of = lambda c: about.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("m" + c))
+    near = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & alike(sketched, agree)
+    central = buckets.join(buckets.groupBy("cls").agg(F.sum("met").alias("meets")), "cls")
+    lead = central.groupBy("key").agg(F.max(F.struct("meets", "cls")).alias("lead")).select("key", F.col("lead.cls").alias("y"))
+    pairs = buckets.select("key", F.col("cls").alias("x")).join(lead, "key").filter("x != y").select("x", "y").distinct()
+    near_pairs = pairs.join(of("x"), "x").join(of("y"), "y").filter(near).select("x", "y")
+    edges = written(confirmed(near_pairs, sets, percent), "edges")
     roots = components(edges)
 
-    rooted = known.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    # buckets that are not of one component: their classes meet once more, each pair in the first half key that it shares
+    rooted = buckets.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo != hi and members > 2").select("key")
-    rest = written(rooted.join(mixed, "key").select("key", "cls", "n", "sketch", "root"), "rest")
-    one = rest.select("key", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("mx"), F.col("root").alias("rx"))
-    two = rest.select("key", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("my"), F.col("root").alias("ry"))
-    pairs = one.join(two, "key").filter((F.col("rx") != F.col("ry")) & (F.col("x") < F.col("y")) & near).select("x", "y").distinct()
-    more = written(confirmed(pairs.join(edges, ["x", "y"], "left_anti"), sets, percent), "edges")
+    rest = rooted.join(mixed, "key").select("cls", "root").distinct()
+    rest = written(rest.join(classes.select("cls", "n", "sketch", "a"), "cls").select("cls", "root", "n", "sketch", "a", F.posexplode("a").alias("ix", "half")), "rest")
+    one, two = (rest.select("half", "ix", F.col("cls").alias(c), F.col("root").alias("r" + c), F.col("n").alias("n" + c), F.col("sketch").alias("m" + c), F.col("a").alias("a" + c)) for c in "xy")
+    first = F.array_position(F.zip_with("ax", "ay", lambda p, q: p == q), True) == F.col("ix") + 1
+    pairs = one.join(two.drop("ix"), "half").filter((F.col("rx") != F.col("ry")) & (F.col("x") < F.col("y")) & near & first).select("x", "y")
+    more = written(confirmed(pairs, sets, percent), "edges")
     roots = components(edges.union(more))
 
     least = (classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
