@@ -20,7 +20,8 @@ from fleetlake.llm._common import written
 def sign_code(vector: Column, segment_bits: int = 16) -> Column:
     """The signs of a vector's values (1: above 0), as an array of segments."""
     bits = lambda part: F.aggregate(F.transform(part, lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda a, b: a + b)
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / segment_bits).cast("int")), lambda s: bits(F.slice(vector, s * segment_bits + 1, segment_bits)))
+    segments = F.filter(F.sequence(F.lit(0), F.size(vector)), lambda s: s * segment_bits < F.size(vector))
+    return F.transform(segments, lambda s: bits(F.slice(vector, s * segment_bits + 1, segment_bits)))
 
 
 def hamming(a: Column, b: Column) -> Column:
