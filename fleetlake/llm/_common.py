@@ -14,6 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Paths of the tables that ``written`` has made in this process.
+made: list[str] = []
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``written`` has made and nothing will read again."""
+    for path in paths:
+        if path in made:
+            made.remove(path)
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
@@ -22,6 +35,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     ship_code()
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlake-{label}-{uuid.uuid4().hex}"
+    made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
