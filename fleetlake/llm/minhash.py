@@ -23,7 +23,7 @@ from fleetlake.llm._common import written
 from fleetlake.session import ship_code
 
 #: Bytes of text that are hashed at once.
-CHUNK = 2_000_000
+CHUNK = 600_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ from fleetlake.session import ship_code
 
 MIN_BYTES, GRAM = 400, 100
 #: Bytes that are looked at at once; longer texts are cut into overlapping pieces.
-CHUNK = 600_000
+CHUNK = 300_000
 #: Frames of one anchor above which its suffixes are dealt once more, by the bytes around the anchor.
 MANY_FRAMES = 20_000
 SLICE = 32
