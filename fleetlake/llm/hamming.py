@@ -58,7 +58,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int =
         probes = (still.select("query", F.posexplode("query").alias("segment", "own"))
                   .select("query", "segment", F.explode(F.transform(F.from_json(F.lit(str(masks)), "array<int>"), lambda m: F.col("own").bitwiseXOR(m))).alias("value")))
         apart = F.zip_with("query", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-        met = (probes.join(index, ["segment", "value"]).filter(F.size("query") == F.size("code"))
+        # the planner takes the probes for as few rows as the queries, so it is told not to broadcast them
+        met = (probes.hint("merge").join(index, ["segment", "value"]).filter(F.size("query") == F.size("code"))
                .withColumn("apart", apart)
                # each pair counts once: in the first of its nearest segments
                .filter((F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius)) == F.col("segment") + 1)))
