@@ -52,15 +52,17 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int =
     index = written(entries.select("code", "ids", F.posexplode("code").alias("segment", "value")), "index")
     asked = written(queries.filter("id is not null and size(code) > 0").select("id", "code").distinct(), "queries")
     every = written(asked.select(F.col("code").alias("query")).distinct(), "open")
-    best, still = None, every
+    # a query's bound is its worst distance so far, once it has k + 1 entries
+    best, still = None, every.withColumn("bound", F.lit(2**30))
     for radius in range(segment_bits + 1):
         masks = [sum(1 << b for b in ones) for ones in combinations(range(segment_bits), radius)]
-        probes = (still.select("query", F.posexplode("query").alias("segment", "own"))
-                  .select("query", "segment", F.explode(F.transform(F.from_json(F.lit(str(masks)), "array<int>"), lambda m: F.col("own").bitwiseXOR(m))).alias("value")))
+        probes = (still.select("query", "bound", F.posexplode("query").alias("segment", "own"))
+                  .select("query", "bound", "segment", F.explode(F.transform(F.from_json(F.lit(str(masks)), "array<int>"), lambda m: F.col("own").bitwiseXOR(m))).alias("value")))
         apart = F.zip_with("query", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         # the planner takes the probes for as few rows as the queries, so it is told not to broadcast them
         met = (probes.hint("merge").join(index, ["segment", "value"]).filter(F.size("query") == F.size("code"))
                .withColumn("apart", apart)
+               .filter(F.aggregate("apart", F.lit(0), lambda s, x: s + x) <= F.col("bound"))
                # each pair counts once: in the first of its nearest segments
                .filter((F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius)) == F.col("segment") + 1)))
         found = met.select("query", F.aggregate("apart", F.lit(0), lambda s, x: s + x).alias("distance"), F.explode("ids").alias("id"))
@@ -68,7 +70,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int =
         best = written(found if best is None else _best(best.unionByName(found), k + 1), "best")
         covered = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
         still = written(every.join(covered, "query", "left").filter(
-            (F.coalesce("n", F.lit(0)) <= k) | (F.col("worst") > F.size("query") * (radius + 1) - 1)).select("query"), "open")
+            (F.coalesce("n", F.lit(0)) <= k) | (F.col("worst") > F.size("query") * (radius + 1) - 1))
+            .select("query", F.when(F.col("n") > k, F.col("worst")).otherwise(2**30).alias("bound")), "open")
         if still.isEmpty():
             break
     others = best.join(asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")), "query").filter("query_id != id")
