@@ -62,6 +62,11 @@ def rank_within(df: DataFrame, group, order, out: str = "rank", num_partitions:
     earlier = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("_pid", *g, "_first",
                               F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_off"))
-    joined = ranged.join(offsets, ["_pid", *g])
+    # null-safe: rows whose group is NULL are a group too
+    offsets = offsets.select("_pid", "_first", "_off", *[F.col(c).alias(f"_group_{c}") for c in g]).withColumnRenamed("_pid", "_part")
+    same = F.col("_pid") == F.col("_part")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_group_{c}"))
+    joined = ranged.join(offsets, same).drop("_part", *[f"_group_{c}" for c in g])
     return (joined.withColumn(out, F.col("_off") + F.col("_pos") - F.col("_first") + 1)
             .drop("_pid", "_pos", "_first", "_off"))
