@@ -15,7 +15,7 @@ ID_PREFIX = "F"
 
 
 def _id_number(c):
-    return F.substring(c, 2, 1 << 20).try_cast("long")
+    return F.substring(c, F.lit(2), F.length(c)).try_cast("long")
 
 
 def max_fault_number(existing: DataFrame) -> DataFrame:
