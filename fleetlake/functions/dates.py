@@ -13,8 +13,16 @@ from pyspark.sql import functions as F
 
 from .text import col_, py_strip
 
-# Tried after Spark's own ISO-8601 reading (date, date time, 'T', fraction).
-EXTRA_PATTERNS = ("MM/dd/yyyy", "dd/MM/yyyy", "MM/dd/yyyy HH:mm:ss", "yyyyMMdd", "MMM d, yyyy")
+# (shape, patterns): a text is read only by the patterns of the shape it has, so
+# a bare number or a time of day is never taken for a date.  None: ISO reading.
+SHAPES = (
+    (r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$", (None,)),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy", "d/M/yyyy")),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", ("M/d/yyyy H:mm", "d/M/yyyy H:mm")),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", ("M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss")),
+    (r"^\d{8}$", ("yyyyMMdd",)),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ("MMM d, yyyy",)),
+)
 
 CANONICAL = "yyyy-MM-dd HH:mm:ss"
 
@@ -22,9 +30,11 @@ CANONICAL = "yyyy-MM-dd HH:mm:ss"
 def parse_datetime(c) -> Column:
     """Text or timestamp -> timestamp, NULL when no pattern fits."""
     s = py_strip(col_(c).cast("string"))
-    attempts = [F.try_to_timestamp(s)]
-    attempts += [F.try_to_timestamp(s, F.lit(p)) for p in EXTRA_PATTERNS]
-    return F.coalesce(*attempts)
+    out = None
+    for shape, patterns in SHAPES:
+        value = F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) if p else F.try_to_timestamp(s) for p in patterns])
+        out = F.when(s.rlike(shape), value) if out is None else out.when(s.rlike(shape), value)
+    return out
 
 
 def parse_strict(c, pattern: str = CANONICAL) -> Column:

@@ -28,17 +28,22 @@ def missing_columns(df: DataFrame, required) -> list[str]:
 def require_columns(df: DataFrame, required) -> DataFrame:
     missing = missing_columns(df, required)
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"columns absent: {missing}")
     return df
 
 
-def missing_columns_per_file(headers: DataFrame, required) -> DataFrame:
-    """Across many files at once: ``headers(path, header)`` -> per path the
-    required names it lacks (``missing``, empty array when complete)."""
-    req = F.array(*[F.lit(n) for n in required])
-    return (headers.groupBy("path")
-            .agg(F.collect_set("header").alias("_h"))
-            .select("path", F.array_sort(F.array_except(req, F.col("_h"))).alias("missing")))
+def missing_columns_per_file(headers: DataFrame, required, files: DataFrame | None = None, key=("path",)) -> DataFrame:
+    """Across many files at once: the required names that ``headers`` (``key``
+    columns, ``header``) lacks for each row of ``files`` (``missing``: empty
+    when complete, all names for a file without any header).  Without
+    ``files``, only files that have a header row are listed."""
+    names = list(required)
+    req = F.array(*[F.lit(n) for n in names])
+    have = headers.where(F.col("header").isin(names)).groupBy(*key).agg(F.collect_set("header").alias("_h"))
+    found = F.coalesce(F.col("_h"), F.array().cast("array<string>"))
+    files = headers.select(*key).distinct() if files is None else files.select(*key)
+    return files.join(have, list(key), "left").select(
+        *key, F.array_sort(F.array_except(req, found)).alias("missing"))
 
 
 # ---------------------------------------------------------------------------
@@ -95,8 +100,9 @@ def int_value(c: Column) -> Column:
 
 
 def float_value(c: Column) -> Column:
-    """``float(str)`` or NULL."""
-    return py_strip(c.cast("string")).try_cast("double")
+    """``float(str)`` or NULL; suffixes and hexadecimal forms are no numbers."""
+    s = py_strip(c.cast("string"))
+    return F.when(s.rlike(r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$"), s.try_cast("double"))
 
 
 def cost_value(c: Column) -> Column:

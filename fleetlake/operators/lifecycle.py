@@ -78,5 +78,5 @@ def close_faults(existing: DataFrame, requests: DataFrame):
                .withColumn("status", F.when(F.col("_hit"), F.lit("closed")).otherwise(F.col("status")))
                .drop("_hit"))
     unknown = (req.drop("_hit").join(existing.select("fault_id"), "fault_id", "left_anti")
-               .withColumn("error", F.concat(F.lit("Fault ID "), F.col("fault_id"), F.lit(" not found"))))
+               .withColumn("error", F.concat(F.lit("no fault has the id "), F.col("fault_id"))))
     return updated, unknown

@@ -44,7 +44,7 @@ def read_log_files(spark: SparkSession, path: str, whole_files: bool = False) ->
     Default: line level (``read_log_lines``), which splits large files across
     tasks.  ``whole_files=True`` reads each file as one string instead (fine
     for small rotated files; one file is then one task's input) and also
-    returns ``entry_ix``.
+    returns ``entry_ix`` and ``sub``.
     """
     if whole_files:
         files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
@@ -53,21 +53,23 @@ def read_log_files(spark: SparkSession, path: str, whole_files: bool = False) ->
 
 
 def parse_text(files: DataFrame, text_col: str = "value") -> DataFrame:
-    """Whole-text log -> entries: the text is split before every prefixed
-    line; lines before the first prefix are entries of their own (NULL ts)."""
-    pieces = F.split(F.col(text_col), r"\n(?=\[" + TS_PATTERN + r"\] )")
-    exploded = files.select("path", F.posexplode(pieces).alias("entry_ix", "piece"))
-    body = F.regexp_replace(F.col("piece"), r"\n$", "")
+    """Whole-text log -> entries ``path, entry_ix, sub, ts, message``: the text
+    is split before every prefixed line; lines before the first prefix are
+    entries of their own (NULL ts, numbered by ``sub``).  Entries with an
+    empty message are entries; an empty file has none."""
+    text = F.regexp_replace(F.col(text_col), r"\n\z", "")
+    pieces = F.split(text, r"\n(?=\[" + TS_PATTERN + r"\])")
+    exploded = files.where(F.col(text_col) != "").select("path", F.posexplode(pieces).alias("entry_ix", "body"))
+    body = F.col("body")
     has = body.rlike(HEAD)
     # a leading piece without a prefix holds the lines before the first entry
     lines = F.when(has, F.array(body)).otherwise(F.split(body, "\n"))
     flat = exploded.select("path", "entry_ix", F.posexplode(lines).alias("sub", "text"))
     has = F.col("text").rlike(HEAD)
     msg = F.when(has, F.regexp_replace(F.col("text"), HEAD, "")).otherwise(F.col("text"))
-    return (flat.select("path", (F.col("entry_ix").cast("long") * 1_000_000 + F.col("sub")).alias("entry_ix"),
+    return (flat.select("path", "entry_ix", "sub",
                         F.when(has, F.try_to_timestamp(F.regexp_extract(F.col("text"), HEAD, 1), F.lit(TS_FORMAT))).alias("ts"),
-                        msg.alias("message"))
-            .where(F.col("message") != ""))
+                        msg.alias("message")))
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -118,8 +120,7 @@ def stitch_lines(lines: DataFrame) -> DataFrame:
     return (entries.select(
         "path", F.col("e_split").alias("split_start"), F.col("e_line").alias("line_id"),
         F.when(has, F.try_to_timestamp(F.regexp_extract(F.col("text"), HEAD, 1), F.lit(TS_FORMAT))).alias("ts"),
-        F.when(has, F.regexp_replace(F.col("text"), HEAD, "")).otherwise(F.col("text")).alias("message"))
-        .where(F.col("message") != ""))
+        F.when(has, F.regexp_replace(F.col("text"), HEAD, "")).otherwise(F.col("text")).alias("message")))
 
 
 def latest_logs(logs: DataFrame, n: int = INITIAL_PAGE, id_col: str = "log_id") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keywords import FAULT_CATEGORY_DEFAULT, MODEL_CATEGORIES
+from ..session import ship_code
 from .ranking import rank_within
 
 # ---------------------------------------------------------------------------
@@ -187,24 +188,40 @@ def classify_memoised(df: DataFrame, scorer: Scorer, allowed=MODEL_CATEGORIES,
 
     Distinct pairs are formed by a hash aggregate (partial per task, so a hot
     pair is reduced before the shuffle), scored in Arrow batches with
-    ``mapInPandas``, checked against ``allowed`` (anything else -> 'Other'; a
-    failing batch -> 'Other'), and joined back on a NULL-safe key.
+    ``mapInPandas``, checked against ``allowed`` (anything else -> 'Other'), and
+    joined back on a hash of the pair and the NULL-safe texts.  When a batch
+    fails, its pairs are scored one by one, so only a pair that fails itself
+    becomes 'Other', with the reason in ``<out>_error`` (else NULL).
     """
     keys = df.select(F.col(complaint).alias("_c"), F.col(description).alias("_d")).distinct()
     allowed_list = list(allowed)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            errors: list[str | None] = [None] * len(b)
             try:
-                ans = pd.Series(scorer(b["_c"], b["_d"]), index=b.index).astype(object)
+                answers = list(scorer(b["_c"], b["_d"]))
+                if len(answers) != len(b):
+                    raise ValueError("the scorer must give one answer a pair")
             except Exception:
-                ans = pd.Series([None] * len(b), index=b.index, dtype=object)
-            ok = ans.where(ans.isin(allowed_list), FAULT_CATEGORY_DEFAULT)
-            yield pd.DataFrame({"_c": b["_c"], "_d": b["_d"], out: ok.astype(str)})
-
-    scored = keys.mapInPandas(score, schema=f"_c string, _d string, {out} string")
-    cond = (F.col(complaint).eqNullSafe(F.col("_c"))) & (F.col(description).eqNullSafe(F.col("_d")))
-    return df.join(scored, cond, "left").drop("_c", "_d")
+                answers = []
+                for i in range(len(b)):
+                    one = b.iloc[i:i + 1].reset_index(drop=True)
+                    try:
+                        answers.append(list(scorer(one["_c"], one["_d"]))[0])
+                    except Exception as e:
+                        answers.append(None)
+                        errors[i] = f"{type(e).__name__}: {e}"
+            labels = [a if isinstance(a, str) and a in allowed_list else FAULT_CATEGORY_DEFAULT for a in answers]
+            yield pd.DataFrame({"_c": b["_c"].to_numpy(), "_d": b["_d"].to_numpy(), out: labels,
+                                f"{out}_error": pd.Series(errors, dtype=object)})
+
+    ship_code()
+    scored = (keys.mapInPandas(score, schema=f"_c string, _d string, {out} string, {out}_error string")
+              .withColumn("_k", F.xxhash64("_c", "_d")))
+    cond = ((F.xxhash64(F.col(complaint).cast("string"), F.col(description).cast("string")) == F.col("_k"))
+            & F.col(complaint).eqNullSafe(F.col("_c")) & F.col(description).eqNullSafe(F.col("_d")))
+    return df.join(scored, cond, "left").drop("_c", "_d", "_k")
 
 
 def first_word_scorer(complaint: pd.Series, description: pd.Series) -> pd.Series:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clean import float_value, int_value
+from .clean import completion_ts, float_value, int_value
 
-ERROR_CODES = ("missing_work_order", "missing_date", "missing_description", "invalid_cost", "invalid_mileage")
+ERROR_CODES = ("missing_work_order", "missing_date", "missing_description", "invalid_cost", "invalid_mileage",
+               "invalid_date")
 
 
 def drop_all_null(df: DataFrame, subset) -> DataFrame:
@@ -17,12 +18,13 @@ def drop_all_null(df: DataFrame, subset) -> DataFrame:
 
 def row_validity(df: DataFrame) -> DataFrame:
     """F6 as flags: ``is_valid`` and ``errors`` (comma-joined codes, '' when
-    valid).  A flag only; rows are not dropped here."""
+    valid).  A date must be in the canonical format.  A flag only; rows are not dropped here."""
     def falsy(c):
         return F.col(c).isNull() | (F.col(c) == "")
     checks = [
         F.when(falsy("work_order"), F.lit(ERROR_CODES[0])),
         F.when(falsy("date"), F.lit(ERROR_CODES[1])),
+        F.when(~falsy("date") & (completion_ts(F.col("date")).isNull()), F.lit(ERROR_CODES[5])),
         F.when(falsy("description"), F.lit(ERROR_CODES[2])),
         F.when(F.col("cost").isNotNull() & float_value(F.col("cost")).isNull(), F.lit(ERROR_CODES[3])),
         F.when(F.col("mileage").isNotNull() & int_value(F.col("mileage")).isNull(), F.lit(ERROR_CODES[4])),

@@ -49,7 +49,9 @@ def table_page(df: DataFrame, page: int, size: int = 10, order=None, tiebreak: s
 
 def page_after(df: DataFrame, last_key, last_tiebreak, size: int = 10, order: str | None = None,
                tiebreak: str = "row_ix") -> DataFrame:
-    """Keyset page: rows strictly after (last_key, last_tiebreak)."""
+    """Keyset page: rows strictly after (last_key, last_tiebreak).  NULL keys
+    come first, as in ``table_page``."""
     order = order or df.columns[0]
-    after = (F.col(order) > F.lit(last_key)) | ((F.col(order) == F.lit(last_key)) & (F.col(tiebreak) > F.lit(last_tiebreak)))
-    return df.where(after).orderBy(order, tiebreak).limit(size)
+    later = F.col(order).isNotNull() if last_key is None else F.col(order) > F.lit(last_key)
+    tie = F.col(order).eqNullSafe(F.lit(last_key)) & (F.col(tiebreak) > F.lit(last_tiebreak))
+    return df.where(later | tie).orderBy(F.col(order).asc_nulls_first(), tiebreak).limit(size)

@@ -49,8 +49,10 @@ def ranged_table(df: DataFrame, keys, num_partitions: int | None = None) -> Data
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(POS_MASK))))
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlake-ranked-{uuid.uuid4().hex}"
-    ranged.write.parquet(folder)
-    src.unpersist()
+    try:
+        ranged.write.parquet(folder)
+    finally:
+        src.unpersist()
     return spark.read.parquet(folder)
 
 

@@ -32,7 +32,8 @@ def ident_expr(c: Column) -> Column:
 
 
 def real_cells(cells: DataFrame) -> DataFrame:
-    return cells.where(F.col("cell_type") != "sheet")
+    """Cells with a value: neither sheet markers nor parser errors."""
+    return cells.where(~F.col("cell_type").isin("sheet", "error"))
 
 
 def sheet_list(cells: DataFrame) -> DataFrame:
@@ -65,8 +66,8 @@ def detect_format(cells: DataFrame, marker: str = "WO No", format_name: str = "k
     return agg.select(
         "path",
         F.when(F.col("found"), F.lit(format_name)).alias("format"),
-        F.when(F.col("err").isNotNull(), F.concat(F.lit("Error detecting Excel format: "), F.col("err")))
-        .when(~F.col("found"), F.lit("Unable to detect Excel format - no matching format found"))
+        F.when(F.col("err").isNotNull(), F.concat(F.lit("unreadable workbook: "), F.col("err")))
+        .when(~F.col("found"), F.lit("no registered format matches"))
         .alias("reason"),
     )
 
@@ -88,7 +89,8 @@ def sheet_pivot(cells: DataFrame, spec: FormatSpec = KARDEX, header_row: int | N
 
     Output: ``path, sheet_ix, sheet_name, row_ix`` + one column per spec column,
     named by its header identifier.  Cells under unknown headers are dropped;
-    sheets without a header row yield nothing.  ``drop_first_record``
+    sheets without a header row yield nothing.  Of several cells at one place
+    the one with the least text counts.  ``drop_first_record``
     reproduces the variant that skipped the first record under the header.
     """
     hr = spec.header_row if header_row is None else header_row
@@ -101,7 +103,10 @@ def sheet_pivot(cells: DataFrame, spec: FormatSpec = KARDEX, header_row: int | N
            .groupBy(*SHEET_KEY).agg(F.map_from_entries(F.collect_list(F.struct("h", "col_ix"))).alias("hmap")))
     body = (base.where(F.col("row_ix") > hr)
             .groupBy(*SHEET_KEY, "row_ix")
-            .agg(F.map_from_entries(F.collect_list(F.struct("col_ix", "value"))).alias("rmap")))
+            .agg(F.array_sort(F.collect_list(F.struct("col_ix", "value"))).alias("_cells"))
+            .withColumn("rmap", F.map_from_entries(F.filter(
+                "_cells", lambda x, i: (i == 0) | (F.get("_cells", i - 1)["col_ix"] != x["col_ix"]))))
+            .drop("_cells"))
     if drop_first_record:
         first = body.groupBy(*SHEET_KEY).agg(F.min("row_ix").alias("_first"))
         body = body.join(first, SHEET_KEY).where(F.col("row_ix") != F.col("_first")).drop("_first")
@@ -143,9 +148,12 @@ def sheet_body(cells: DataFrame, body_start: int = GENERIC_BODY_START_ROW,
     """S7 + P6: body cells (``row_ix >= body_start``) tagged with the sheet's
     vehicle type and name."""
     body = real_cells(cells).where(F.col("row_ix") >= body_start)
-    vt = sheet_vehicle_type(cells, cell)
-    return body.join(vt, SHEET_KEY, "inner").select(
-        "path", "sheet_name", "vehicle_type", "row_ix", "col_ix", "value")
+    r, c = cell   # one cell a sheet: a side that AQE can broadcast by its size
+    at = (real_cells(cells).where((F.col("row_ix") == r) & (F.col("col_ix") == c) & (F.col("cell_type") == "str"))
+          .groupBy(*SHEET_KEY).agg(F.max("value").alias("_v")))
+    return body.join(at, SHEET_KEY, "left").select(
+        "path", "sheet_name", F.coalesce(py_strip(F.col("_v")), F.lit("Unknown")).alias("vehicle_type"),
+        "row_ix", "col_ix", "value")
 
 
 # ---------------------------------------------------------------------------
@@ -157,18 +165,18 @@ def sheet_counts(cells: DataFrame, body_start: int = GENERIC_BODY_START_ROW) ->
     """Records per sheet of the generic stacker.
 
     ``status``: ``empty`` (no cells, n = 0), ``error`` (parser error, n NULL),
-    ``no_body`` (nothing at or below ``body_start``, n NULL), ``ok``.
+    ``no_body`` (nothing at or below ``body_start``, n NULL), ``ok``.  A
+    workbook that cannot be read has one ``error`` row without a sheet.
+    One aggregation: a sheet's marker is a cell of its own.
     """
-    real = real_cells(cells)
-    per_sheet = real.groupBy(*SHEET_KEY).agg(
-        F.count_distinct(F.when(F.col("row_ix") >= body_start, F.col("row_ix"))).alias("body_rows"),
-        F.count(F.lit(1)).alias("n_cells"),
+    real = ~F.col("cell_type").isin("sheet", "error")
+    j = cells.groupBy(*SHEET_KEY).agg(
+        F.count_distinct(F.when(real & (F.col("row_ix") >= body_start), F.col("row_ix"))).alias("body_rows"),
+        F.count_if(real).alias("n_cells"),
         F.max((F.col("cell_type") == "error").cast("int")).alias("has_error"),
     )
-    sheets = sheet_list(cells)
-    j = sheets.join(per_sheet, SHEET_KEY, "left")
     status = (F.when(F.col("has_error") == 1, F.lit("error"))
-              .when(F.col("n_cells").isNull(), F.lit("empty"))
+              .when(F.col("n_cells") == 0, F.lit("empty"))
               .when(F.col("body_rows") == 0, F.lit("no_body"))
               .otherwise(F.lit("ok")))
     n = F.when(status == "empty", F.lit(0).cast("long")).when(status == "ok", F.col("body_rows").cast("long"))
@@ -185,9 +193,10 @@ def sheet_share(counts: DataFrame) -> DataFrame:
 
 
 def ingest_summary(counts: DataFrame) -> DataFrame:
-    """A10: per workbook the number of sheets (all, even empty) and rows."""
+    """A10: per workbook the number of sheets (all, even empty) and rows; an
+    unreadable workbook has none of either."""
     return counts.groupBy("path").agg(
-        F.count(F.lit(1)).alias("total_sheets"),
+        F.count("sheet_name").alias("total_sheets"),
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_rows"),
     )
 
@@ -222,9 +231,9 @@ def load_status(cells: DataFrame, required, header_row: int = 3, sheet_ix: int =
     return j.select(
         "path",
         (F.col("err").isNull() & (F.size(missing) == 0)).alias("success"),
-        F.when(F.col("err").isNotNull(), F.concat(F.lit("Error loading fault data: "), F.col("err")))
-        .when(F.size(missing) > 0, F.concat(F.lit("Invalid fault data format: Missing required columns: "), miss_text))
-        .otherwise(F.lit("Fault data loaded successfully")).alias("message"),
+        F.when(F.col("err").isNotNull(), F.concat(F.lit("unreadable workbook: "), F.col("err")))
+        .when(F.size(missing) > 0, F.concat(F.lit("columns absent: "), miss_text))
+        .otherwise(F.lit("loaded")).alias("message"),
     )
 
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+# Wide enough that no sum of amounts is cast back to a smaller type.
+MONEY = "decimal(38,2)"
 
 
 def _num(c: str, t: str):
@@ -28,8 +29,8 @@ def fault_statistics(df: DataFrame, done_col: str = "completion_date", loc_col:
         F.count_if(F.col(done_col).isNull()).alias("active_faults"),
         F.count_distinct(F.col(loc_col)).alias("unique_locations"),
         F.round(F.avg(_num(mileage_col, "double")), 4).cast("decimal(20,4)").alias("avg_mileage"),
-        F.coalesce(F.sum(_num(interco_col, MONEY)), F.lit(0)).cast(MONEY).alias("total_intercost"),
-        F.coalesce(F.sum(_num(cost_col, MONEY)), F.lit(0)).cast(MONEY).alias("total_custcost"),
+        F.coalesce(F.try_sum(_num(interco_col, MONEY)), F.lit(0)).cast(MONEY).alias("total_intercost"),
+        F.coalesce(F.try_sum(_num(cost_col, MONEY)), F.lit(0)).cast(MONEY).alias("total_custcost"),
     )
 
 
@@ -61,15 +62,6 @@ def statistics_record(df: DataFrame, dims: dict[str, str], **kw):
     return fault_statistics(df, **kw), value_counts(df, dims)
 
 
-def value_maps(counts: DataFrame, dimension: str, buckets: int = 64) -> DataFrame:
-    """Value->count maps for one dimension, split into ``buckets`` rows by a
-    hash of the value so no single row holds every distinct value."""
-    part = counts.where(F.col("dimension") == dimension).withColumn(
-        "bucket", F.pmod(F.xxhash64("value"), F.lit(buckets)))
-    return part.groupBy("dimension", "bucket").agg(
-        F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("counts"))
-
-
 def fault_summary(df: DataFrame, done_col: str = "completion_date") -> DataFrame:
     """Total, active and high-severity counts in one pass."""
     return df.agg(
@@ -85,5 +77,5 @@ def group_summary(df: DataFrame, keys=("vehicle_type", "severity", "fault_catego
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("completion_date").isNull()).alias("open_n"),
-        F.sum(cost).cast(MONEY).alias("total_cost"),
+        F.try_sum(cost).cast(MONEY).alias("total_cost"),
     )

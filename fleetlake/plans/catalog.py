@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_datetime
 from ..functions.keywords import MODEL_CATEGORIES
-from ..operators import clean, labels, lifecycle, logs, prompts, query, sheets, stats
+from ..operators import clean, labels, lifecycle, logs, prompts, quality, query, sheets, stats
 from ..session import table
 from ..sources import views
 from ..sources.workbook import admitted
@@ -169,13 +169,9 @@ def q_completion_date(spark, sf):
 def q_missing_columns(spark, sf):
     c = cells(spark, sf)
     hdr = sheets.header_cells(c, KARDEX.header_row)
-    sheet_hdr = hdr.groupBy("path", "sheet_name").agg(F.collect_set("header").alias("h"))
-    req = F.array(*[F.lit(n) for n in KARDEX.required_names()])
-    lst = sheets.sheet_list(c).select("path", "sheet_name")
-    j = lst.join(sheet_hdr, ["path", "sheet_name"], "left")
-    missing = F.array_sort(F.array_except(req, F.coalesce(F.col("h"), F.array().cast("array<string>"))))
-    return j.select("path", "sheet_name", F.array_join(missing, ", ").alias("missing"),
-                    F.size(missing).alias("n_missing"))
+    key = ("path", "sheet_name")
+    out = clean.missing_columns_per_file(hdr, KARDEX.required_names(), sheets.sheet_list(c), key)
+    return out.select(*key, F.array_join("missing", ", ").alias("missing"), F.size("missing").alias("n_missing"))
 
 
 def q_drop_all_null(spark, sf):
@@ -213,6 +209,19 @@ def q_table_page(spark, sf):
     return query.table_page(good(spark, sf).select("work_order", "row_ix", "date"), page=3, size=10)
 
 
+def q_page_after(spark, sf):
+    rows = good(spark, sf).select("work_order", "row_ix", "date")
+    return query.page_after(rows, None, 89, size=200)
+
+
+def q_raw_row_validity(spark, sf):
+    return quality.row_validity(prepared(spark, sf)).select("row_ix", "is_valid", "errors")
+
+
+def q_top_values(spark, sf):
+    return stats.top_values(stats.value_counts(fault_table(spark, sf), DIMS), "fault_categories")
+
+
 DIMS = {"categories": "category", "complaints_by_type": "nature_of_complaint",
         "fault_categories": "fault_category_kw"}
 
@@ -445,6 +454,9 @@ QUERIES: dict[str, Query] = {
     "faults_by_category": q_faults_by_category,
     "faults_by_severity": q_faults_by_severity,
     "row_validity": q_row_validity,
+    "raw_row_validity": q_raw_row_validity,
+    "page_after": q_page_after,
+    "top_values": q_top_values,
     "table_search": q_table_search,
     "table_page": q_table_page,
     "fault_statistics": q_fault_statistics,

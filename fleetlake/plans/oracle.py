@@ -27,7 +27,7 @@ wo AS (
          c.c_mktsegment AS sheet_name,
          'V' || CAST(o.o_custkey AS VARCHAR) AS vehicle_id,
          CASE WHEN o.o_orderkey % 89 <> 0
-              THEN 'WO-' || CAST(o.o_orderkey AS VARCHAR) || '/' || CAST(o.o_custkey % 10 AS VARCHAR) END AS wo_no,
+              THEN CASE WHEN o.o_orderkey % 71 = 0 THEN '  ' ELSE '' END || 'WO-' || CAST(o.o_orderkey AS VARCHAR) || '/' || CAST(o.o_custkey % 10 AS VARCHAR) END AS wo_no,
          n.n_name AS loc,
          o.o_orderstatus AS st,
          CASE WHEN o.o_orderkey % 11 = 0 THEN CAST(o.o_orderkey AS VARCHAR) || '.0'
@@ -35,15 +35,20 @@ wo AS (
               ELSE CAST(o.o_orderkey * 7 AS VARCHAR) END AS mileage,
          CASE WHEN o.o_orderkey % 97 = 0 THEN 'invalid_date'
               WHEN o.o_orderkey % 101 = 0 THEN NULL
+              WHEN o.o_orderkey % 103 = 0 THEN '45291'
+              WHEN o.o_orderkey % 107 = 0 THEN '10:30'
+              WHEN o.o_orderkey % 109 = 0 THEN '13/02/2024'
+              WHEN o.o_orderkey % 113 = 0 THEN ' Jan 5, 2024 '
+              WHEN o.o_orderkey % 127 = 0 THEN '1/2/2024 5:06'
               ELSE strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S') END AS open_date,
          CASE WHEN o.o_orderstatus <> 'O' THEN strftime(li.ship, '%Y-%m-%d %H:%M:%S') END AS done_date,
          CASE WHEN o.o_orderstatus = 'F' THEN strftime(li.ship, '%Y-%m-%d %H:%M:%S') END AS actual_finish_date,
-         (['Engine noise', 'Brake squeal', 'Flat tyre', 'Aircon not cold', 'Body dent', 'New issue',
-           'Test complaint', NULL])[((o.o_orderkey % 128) - (o.o_orderkey % 16)) // 16 + 1] AS nature_of_complaint,
+         (['Engine hunts at idle', 'Brake squeal', 'Flat tyre', 'Aircon not cold', 'Body dent', 'Horn silent',
+           'Wiper streaks', NULL])[((o.o_orderkey % 128) - (o.o_orderkey % 16)) // 16 + 1] AS nature_of_complaint,
          'F' || lpad(CAST(o.o_orderkey % 50 AS VARCHAR), 3, '0') AS fault_codes,
-         (['  Engine   making  loud  noise   ',
-           'Urgent brake failure needs immediate attention',
-           'Routine tire inspection and rotation',
+         (['  Engine   runs  rough   at  idle  ',
+           'Urgent: brake pedal sinks, immediate stop',
+           'Routine tire check, swapped front pair',
            'Replace clutch and gearbox oil',
            'Battery dead, starter not working',
            'Shock absorber leak, replace mounting',
@@ -54,7 +59,7 @@ wo AS (
            'Tyre breakdown on highway',
            'Cosmetic scratch, polish door panel',
            'Monitor and note cabin odour',
-           'Loud knocking sound from engine',
+           'Engine knocking when cold',
            '',
            NULL])[o.o_orderkey % 16 + 1] AS job_description,
          CASE WHEN o.o_orderkey % 4 <> 0 THEN 'SRR' || CAST(o.o_orderkey AS VARCHAR) END AS srr_no,
@@ -66,7 +71,8 @@ wo AS (
          'Lead ' || CAST(o.o_custkey % 7 AS VARCHAR) AS lead_tech,
          'B' || CAST(o.o_orderkey AS VARCHAR) AS bill_no,
          CAST(CAST(li.qty AS DECIMAL(18,2)) AS VARCHAR) AS intercoamt,
-         CASE WHEN o.o_orderkey % 17 = 0 THEN 'n/a' ELSE CAST(CAST(li.amt AS DECIMAL(18,2)) AS VARCHAR) END AS custamt
+         CASE WHEN o.o_orderkey % 17 = 0 THEN 'n/a' WHEN o.o_orderkey % 61 = 0 THEN '100d'
+              WHEN o.o_orderkey % 67 = 0 THEN '1e3' ELSE CAST(CAST(li.amt AS DECIMAL(18,2)) AS VARCHAR) END AS custamt
   FROM orders o
   JOIN customer c ON c.c_custkey = o.o_custkey
   JOIN nation n ON n.n_nationkey = c.c_nationkey
@@ -88,9 +94,17 @@ prep AS (
 
 def parse_ts(x: str) -> str:
     s = strip(x)
-    return (f"COALESCE(TRY_CAST({s} AS TIMESTAMP), try_strptime({s}, '%m/%d/%Y'), "
-            f"try_strptime({s}, '%d/%m/%Y'), try_strptime({s}, '%m/%d/%Y %H:%M:%S'), "
-            f"try_strptime({s}, '%Y%m%d'), try_strptime({s}, '%b %d, %Y'))")
+    iso = r"\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?"
+    us = r"\d{1,2}/\d{1,2}/\d{4}"
+    return f"""CASE
+      WHEN regexp_full_match({s}, '{iso}') THEN TRY_CAST({s} AS TIMESTAMP)
+      WHEN regexp_full_match({s}, '{us}') THEN coalesce(try_strptime({s}, '%m/%d/%Y'), try_strptime({s}, '%d/%m/%Y'))
+      WHEN regexp_full_match({s}, '{us} \\d{{1,2}}:\\d{{2}}')
+        THEN coalesce(try_strptime({s}, '%m/%d/%Y %H:%M'), try_strptime({s}, '%d/%m/%Y %H:%M'))
+      WHEN regexp_full_match({s}, '{us} \\d{{1,2}}:\\d{{2}}:\\d{{2}}')
+        THEN coalesce(try_strptime({s}, '%m/%d/%Y %H:%M:%S'), try_strptime({s}, '%d/%m/%Y %H:%M:%S'))
+      WHEN regexp_full_match({s}, '\\d{{8}}') THEN try_strptime({s}, '%Y%m%d')
+      WHEN regexp_full_match({s}, '[A-Za-z]{{3}} \\d{{1,2}}, \\d{{4}}') THEN try_strptime({s}, '%b %d, %Y') END"""
 
 
 CLEAN = PREP + f""",
@@ -352,7 +366,7 @@ ORACLE: dict[str, str] = {}
 ORACLE["fault_report"] = w(GOOD, """
 SELECT vehicle_type, severity, fault_category, count(*) AS n,
        count(*) FILTER (WHERE completion_date IS NULL) AS open_n,
-       CAST(sum(coalesce(TRY_CAST(cost AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2)))) AS DECIMAL(18,2)) AS total_cost
+       CAST(sum(coalesce(TRY_CAST(cost AS DECIMAL(38,2)), CAST(0 AS DECIMAL(38,2)))) AS DECIMAL(38,2)) AS total_cost
 FROM good GROUP BY vehicle_type, severity, fault_category""")
 
 ORACLE["enriched_work_orders"] = w(GOOD, "SELECT * FROM good")
@@ -458,6 +472,17 @@ ORACLE["faults_by_severity"] = w(GOOD, "SELECT row_ix, severity, description FRO
 
 ORACLE["row_validity"] = w(CLEAN, "SELECT row_ix, errors = '' AS is_valid, errors FROM enr")
 
+ORACLE["raw_row_validity"] = w(CLEAN, """
+SELECT row_ix, errors = '' AS is_valid, errors FROM (
+  SELECT row_ix, concat_ws(',',
+      CASE WHEN coalesce(work_order, '') = '' THEN 'missing_work_order' END,
+      CASE WHEN coalesce(date, '') = '' THEN 'missing_date' END,
+      CASE WHEN date <> '' AND NOT regexp_full_match(date, '\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN 'invalid_date' END,
+      CASE WHEN coalesce(description, '') = '' THEN 'missing_description' END,
+      CASE WHEN cost IS NOT NULL AND TRY_CAST(trim(cost) AS DOUBLE) IS NULL THEN 'invalid_cost' END,
+      CASE WHEN mileage IS NOT NULL AND NOT regexp_full_match(trim(mileage), '[+-]?[0-9]+') THEN 'invalid_mileage' END) AS errors
+  FROM prep)""")
+
 ORACLE["table_search"] = w(GOOD, """
 SELECT row_ix, work_order, location, nature_of_complaint, description, next_recommendation FROM good
 WHERE contains(lower(concat_ws(' ', work_order, location, nature_of_complaint, description, next_recommendation)), 'brake')""")
@@ -465,13 +490,17 @@ WHERE contains(lower(concat_ws(' ', work_order, location, nature_of_complaint, d
 ORACLE["table_page"] = w(GOOD, """
 SELECT work_order, row_ix, date FROM good ORDER BY work_order ASC NULLS FIRST, row_ix LIMIT 10 OFFSET 30""")
 
+ORACLE["page_after"] = w(GOOD, """
+SELECT work_order, row_ix, date FROM good WHERE work_order IS NOT NULL OR row_ix > 89
+ORDER BY work_order ASC NULLS FIRST, row_ix LIMIT 200""")
+
 ORACLE["fault_statistics"] = w(PREP, """
 SELECT count(*) AS total_records,
        count(*) FILTER (WHERE completion_date IS NULL) AS active_faults,
        count(DISTINCT location) AS unique_locations,
        CAST(round(avg(TRY_CAST(mileage AS DOUBLE)), 4) AS DECIMAL(20,4)) AS avg_mileage,
-       CAST(coalesce(sum(TRY_CAST(interco_amount AS DECIMAL(18,2))), 0) AS DECIMAL(18,2)) AS total_intercost,
-       CAST(coalesce(sum(TRY_CAST(cost AS DECIMAL(18,2))), 0) AS DECIMAL(18,2)) AS total_custcost
+       CAST(coalesce(sum(TRY_CAST(interco_amount AS DECIMAL(38,2))), 0) AS DECIMAL(38,2)) AS total_intercost,
+       CAST(coalesce(sum(TRY_CAST(cost AS DECIMAL(38,2))), 0) AS DECIMAL(38,2)) AS total_custcost
 FROM prep""")
 
 ORACLE["value_counts"] = w(FT, """
@@ -481,6 +510,10 @@ SELECT 'complaints_by_type', nature_of_complaint, count(*) FROM ft WHERE nature_
 UNION ALL
 SELECT 'fault_categories', fault_category_kw, count(*) FROM ft WHERE fault_category_kw IS NOT NULL GROUP BY fault_category_kw""")
 
+ORACLE["top_values"] = w(FT, """
+SELECT 'fault_categories' AS dimension, fault_category_kw AS value, count(*) AS n
+FROM ft WHERE fault_category_kw IS NOT NULL GROUP BY fault_category_kw ORDER BY n DESC, value""")
+
 ORACLE["fault_summary"] = w(GOOD, """
 SELECT count(*) AS total_faults,
        count(*) FILTER (WHERE completion_date IS NULL) AS active_faults,
@@ -512,7 +545,7 @@ SELECT f.fault_id, f.vehicle_id, CASE WHEN r.fault_id IS NOT NULL THEN 'closed'
 FROM fault_log f LEFT JOIN req r ON r.fault_id = f.fault_id""")
 
 ORACLE["close_faults_unknown"] = w(CLOSE, """
-SELECT r.fault_id, 'Fault ID ' || r.fault_id || ' not found' AS error
+SELECT r.fault_id, 'no fault has the id ' || r.fault_id AS error
 FROM req r WHERE r.fault_id NOT IN (SELECT fault_id FROM fault_log)""")
 
 ORACLE["latest_logs"] = w(APP_LOG, """
@@ -590,8 +623,8 @@ d AS (
   FROM cells GROUP BY path
 )
 SELECT path, CASE WHEN found THEN 'kardex' END AS format,
-       CASE WHEN err IS NOT NULL THEN 'Error detecting Excel format: ' || err
-            WHEN NOT found THEN 'Unable to detect Excel format - no matching format found' END AS reason
+       CASE WHEN err IS NOT NULL THEN 'unreadable workbook: ' || err
+            WHEN NOT found THEN 'no registered format matches' END AS reason
 FROM d""")
 
 ORACLE["sheet_vehicle_type"] = w(CELLS, """,
@@ -644,10 +677,10 @@ m AS (
   FROM e LEFT JOIN h ON h.path = e.path
 )
 SELECT path, err IS NULL AND len(miss) = 0 AS success,
-       CASE WHEN err IS NOT NULL THEN 'Error loading fault data: ' || err
-            WHEN len(miss) > 0 THEN 'Invalid fault data format: Missing required columns: ['
+       CASE WHEN err IS NOT NULL THEN 'unreadable workbook: ' || err
+            WHEN len(miss) > 0 THEN 'columns absent: ['
                  || array_to_string(list_transform(miss, lambda x: '''' || x || ''''), ', ') || ']'
-            ELSE 'Fault data loaded successfully' END AS message
+            ELSE 'loaded' END AS message
 FROM m""")
 
 ORACLE["raw_preview"] = w(CELLS, """

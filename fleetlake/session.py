@@ -8,6 +8,7 @@ bench only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,52 +48,29 @@ def ship_code() -> None:
     Python workers (``mapInPandas`` parsers and scorers), so executors need
     no installed copy of the package.  Installed copies work as well."""
     import fleetlake
-    try:
-        from pyspark import cloudpickle
-        cloudpickle.register_pickle_by_value(fleetlake)
-    except Exception:  # already registered, or an older serializer without this hook
-        pass
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(fleetlake)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    Looks at ``spark.checkpoint.dir`` and at the context's checkpoint folder;
-    on a cluster one of them names a shared folder and is used as is.  Only
-    when neither is set (local tests) a scratch folder is made and set.
+    Looks at ``spark.checkpoint.dir`` and at the context's checkpoint folder.
+    When neither is set, a session whose tasks all run in the driver's process
+    (local master) gets a scratch folder; any other session gets an error, as
+    no folder of one machine would do.
     """
     sc = spark.sparkContext
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="fleetlake-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", conf_dir)
-        except Exception:  # a static setting on some deployments; the context setting suffices
-            pass
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="fleetlake-ckpt-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(conf_dir)
-    return conf_dir
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one driver table (parquet) lazily."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def spread(df, *keys, min_partitions: int | None = None):
-    """Hash-partition ``df`` on ``keys`` only when its scan yields fewer
-    partitions than the cluster can run at once (e.g. one small file with a
-    single row group), so CPU-heavy text expressions downstream are not run by
-    a single task.  Large inputs already arrive in many splits and are left
-    as they are: no shuffle is added at scale.  The partition count equals
-    ``spark.sql.shuffle.partitions`` so a later join or aggregation on the
-    same keys reuses this partitioning.
-    """
-    spark = df.sparkSession
-    try:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= want:
-            return df
-    except Exception:  # no RDD view of the plan (e.g. a remote session): leave the plan as it is
-        return df
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -19,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
+from ..session import table
 from ..spec import KARDEX_COLUMNS
 
 # Fixture phrase lists (our own test vocabulary, indexed by key arithmetic).
 DESCRIPTIONS = [
-    "  Engine   making  loud  noise   ",
-    "Urgent brake failure needs immediate attention",
-    "Routine tire inspection and rotation",
+    "  Engine   runs  rough   at  idle  ",
+    "Urgent: brake pedal sinks, immediate stop",
+    "Routine tire check, swapped front pair",
     "Replace clutch and gearbox oil",
     "Battery dead, starter not working",
     "Shock absorber leak, replace mounting",
@@ -37,12 +37,12 @@ DESCRIPTIONS = [
     "Tyre breakdown on highway",
     "Cosmetic scratch, polish door panel",
     "Monitor and note cabin odour",
-    "Loud knocking sound from engine",
+    "Engine knocking when cold",
     "",
     None,
 ]
-COMPLAINTS = ["Engine noise", "Brake squeal", "Flat tyre", "Aircon not cold", "Body dent",
-              "New issue", "Test complaint", None]
+COMPLAINTS = ["Engine hunts at idle", "Brake squeal", "Flat tyre", "Aircon not cold", "Body dent",
+              "Horn silent", "Wiper streaks", None]
 CATS = ["REPAIR", "SERVICE", "TYREBD", "PDI", None]
 # The five market segments stand for the five vehicle-type sheets.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -60,8 +60,10 @@ def _pick(values, idx: Column) -> Column:
 
 def work_order_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw work orders: ``row_ix, sheet_name, vehicle_id`` + the 20 sheet columns."""
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"),
-                    "o_orderkey")
+    # Dealt by the order key at every size: the join with the per-order
+    # aggregate reuses it, and the text work spreads over all tasks.
+    orders = (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+              .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     lines = (
@@ -90,7 +92,7 @@ def work_order_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("row_ix"),
         F.col("c_mktsegment").alias("sheet_name"),
         F.concat(F.lit("V"), c.cast("string")).alias("vehicle_id"),
-        F.when(k % 89 != 0, F.concat(F.lit("WO-"), k.cast("string"), F.lit("/"), (c % 10).cast("string"))).alias("wo_no"),
+        F.when(k % 89 != 0, F.concat(F.when(k % 71 == 0, F.lit("  ")).otherwise(F.lit("")), F.lit("WO-"), k.cast("string"), F.lit("/"), (c % 10).cast("string"))).alias("wo_no"),
         F.col("n_name").alias("loc"),
         F.col("o_orderstatus").alias("st"),
         F.when(k % 11 == 0, F.concat(k.cast("string"), F.lit(".0")))
@@ -98,6 +100,11 @@ def work_order_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise((k * 7).cast("string")).alias("mileage"),
         F.when(k % 97 == 0, F.lit("invalid_date"))
         .when(k % 101 == 0, F.lit(None).cast("string"))
+        .when(k % 103 == 0, F.lit("45291"))
+        .when(k % 107 == 0, F.lit("10:30"))
+        .when(k % 109 == 0, F.lit("13/02/2024"))
+        .when(k % 113 == 0, F.lit(" Jan 5, 2024 "))
+        .when(k % 127 == 0, F.lit("1/2/2024 5:06"))
         .otherwise(F.date_format("o_orderdate", TS_TEXT)).alias("open_date"),
         F.when(F.col("o_orderstatus") != "O", ship_text).alias("done_date"),
         F.when(F.col("o_orderstatus") == "F", ship_text).alias("actual_finish_date"),
@@ -113,7 +120,7 @@ def work_order_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Lead "), (c % 7).cast("string")).alias("lead_tech"),
         F.concat(F.lit("B"), k.cast("string")).alias("bill_no"),
         F.col("qty").cast("decimal(18,2)").cast("string").alias("intercoamt"),
-        F.when(k % 17 == 0, F.lit("n/a")).otherwise(F.col("amt").cast("decimal(18,2)").cast("string")).alias("custamt"),
+        F.when(k % 17 == 0, F.lit("n/a")).when(k % 61 == 0, F.lit("100d")).when(k % 67 == 0, F.lit("1e3")).otherwise(F.col("amt").cast("decimal(18,2)").cast("string")).alias("custamt"),
     )
 
 

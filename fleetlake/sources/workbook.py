@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_code
 from ..spec import ALLOWED_EXTENSIONS, EXCEL_EXTENSIONS
 from .views import CELL_SCHEMA
 
@@ -129,8 +130,56 @@ def _sheets(z: zipfile.ZipFile):
     return out, date1904
 
 
+def _sheet_cells(z: zipfile.ZipFile, member: str, sst: list[str], dates: set[int], date1904: bool):
+    """(row, col, cell type, text) of a sheet's filled cells.  Rows and cells
+    need not name their place; then they follow the one before.  Finished rows
+    are detached from the tree, so a sheet of any length is read in constant
+    memory."""
+    row = col = -1
+    data = None
+    for event, el in ET.iterparse(z.open(member), ("start", "end")):
+        if event == "start":
+            if el.tag == _M + "sheetData":
+                data = el
+            elif el.tag == _M + "row":
+                row, col = int(el.get("r") or row + 2) - 1, -1
+            continue
+        if el.tag == _M + "row" and data is not None:
+            data.clear()
+        if el.tag != _M + "c":
+            continue
+        m = _REF.fullmatch(el.get("r", ""))
+        if m:
+            col, row = _col_index(m.group(1)), int(m.group(2)) - 1
+        else:
+            col += 1
+        t = el.get("t", "n")
+        v = el.find(_M + "v")
+        raw = v.text if v is not None else None
+        if t == "s" and raw is not None:
+            kind, val = "str", sst[int(raw)]
+        elif t == "inlineStr":
+            kind, val = "str", "".join(x.text or "" for x in el.iter(_M + "t"))
+        elif t == "str":
+            kind, val = "str", raw
+        elif t == "b":
+            kind, val = "bool", ("True" if raw == "1" else "False") if raw is not None else None
+        elif t == "e":
+            kind, val = "cellerror", raw
+        elif raw is not None and int(el.get("s", "0")) in dates:
+            kind, val = "date", _serial_to_text(float(raw), date1904)
+        else:
+            kind, val = "num", _num_text(raw) if raw is not None else None
+        if val is not None and val != "":
+            yield row, col, kind, val
+
+
 def parse_workbook(path: str, content: bytes) -> Iterator[list[tuple]]:
-    """Yield lists of cell tuples (``COLUMNS`` order) for one workbook."""
+    """Yield lists of cell tuples (``COLUMNS`` order) for one workbook.
+
+    Each sheet is read twice: once to see that it can be read to its end, once
+    for its cells.  A sheet that cannot gives its marker and an error, and
+    none of its cells; the other sheets go on (F8)."""
     try:
         z = zipfile.ZipFile(io.BytesIO(content))
         sst = _shared_strings(z)
@@ -143,39 +192,16 @@ def parse_workbook(path: str, content: bytes) -> Iterator[list[tuple]]:
     for ix, (name, member) in enumerate(sheets):
         buf.append((path, ix, name, -1, -1, "sheet", None))
         try:
-            for _, el in ET.iterparse(z.open(member)):
-                if el.tag != _M + "c":
-                    if el.tag == _M + "row":
-                        el.clear()
-                    continue
-                m = _REF.match(el.get("r", ""))
-                if not m:
-                    continue
-                col, row = _col_index(m.group(1)), int(m.group(2)) - 1
-                t = el.get("t", "n")
-                v = el.find(_M + "v")
-                raw = v.text if v is not None else None
-                if t == "s" and raw is not None:
-                    kind, val = "str", sst[int(raw)]
-                elif t == "inlineStr":
-                    kind, val = "str", "".join(x.text or "" for x in el.iter(_M + "t"))
-                elif t == "str":
-                    kind, val = "str", raw
-                elif t == "b":
-                    kind, val = "bool", ("True" if raw == "1" else "False") if raw is not None else None
-                elif t == "e":
-                    kind, val = "cellerror", raw
-                elif raw is not None and int(el.get("s", "0")) in dates:
-                    kind, val = "date", _serial_to_text(float(raw), date1904)
-                else:
-                    kind, val = "num", _num_text(raw) if raw is not None else None
-                if val is not None and val != "":
-                    buf.append((path, ix, name, row, col, kind, val))
-                if len(buf) >= BATCH:
-                    yield buf
-                    buf = []
-        except Exception as e:  # a bad sheet is isolated; the rest go on (F8)
+            for _ in _sheet_cells(z, member, sst, dates, date1904):
+                pass
+        except Exception as e:
             buf.append((path, ix, name, -1, -1, "error", f"{type(e).__name__}: {e}"))
+            continue
+        for cell in _sheet_cells(z, member, sst, dates, date1904):
+            buf.append((path, ix, name, *cell))
+            if len(buf) >= BATCH:
+                yield buf
+                buf = []
     if buf:
         yield buf
 
@@ -195,15 +221,26 @@ def read_cells(files: DataFrame, partitions: int | None = None) -> DataFrame:
     input; the cells are re-partitioned by sheet afterwards so a few large
     workbooks do not leave later stages skewed.
     """
+    ship_code()
     cells = files.select("path", "content").mapInPandas(_parse_partition, schema=CELL_SCHEMA)
     n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cells.repartition(n, "path", "sheet_ix", "row_ix")
 
 
-def read_workbooks(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """Admitted Excel files under ``folder`` -> cell table (S1 + S9)."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(folder)
-    return read_cells(files.where(is_excel(F.col("path"))))
+# Names that end in an Excel suffix in any case, as a glob: other files are never opened.
+EXCEL_GLOB = "*.{" + ",".join("".join(f"[{ch}{ch.upper()}]" for ch in ext) for ext in EXCEL_EXTENSIONS) + "}"
+
+
+def read_workbooks(spark: SparkSession, folder: str, glob: str = EXCEL_GLOB) -> DataFrame:
+    """Admitted Excel files under ``folder`` -> cell table (S1 + S9).
+
+    Files over Spark's limit for one binary record are not opened; each
+    becomes an error cell, as an unreadable file does."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+             .load(folder).where(is_excel(F.col("path"))))
+    limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    over = files.where(F.col("length") > limit).select(
+        "path", F.lit(-1).alias("sheet_ix"), F.lit(None).cast("string").alias("sheet_name"),
+        F.lit(-1).cast("long").alias("row_ix"), F.lit(-1).alias("col_ix"), F.lit("error").alias("cell_type"),
+        F.concat(F.lit("file too long: "), F.col("length").cast("string"), F.lit(" bytes")).alias("value"))
+    return read_cells(files.where(F.col("length") <= limit)).unionByName(over)

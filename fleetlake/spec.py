@@ -169,7 +169,7 @@ _REGISTRY: dict[tuple[str, str], FormatSpec] = {}
 def register_format(spec: FormatSpec) -> FormatSpec:
     """Register a spec under (domain, name); names compare case-insensitively."""
     if not spec.attributes:
-        raise ValueError(f"Domain '{spec.domain}' is missing fault_attributes configuration")
+        raise ValueError(f"the spec of {spec.domain} names no attributes")
     _REGISTRY[(spec.domain.lower(), spec.name.lower())] = spec
     return spec
 
@@ -177,10 +177,10 @@ def register_format(spec: FormatSpec) -> FormatSpec:
 def get_format(name: str, domain: str = "vehicle_leasing") -> FormatSpec:
     """Look up a registered spec; unknown domain or format raises ValueError."""
     if not any(d == domain.lower() for d, _ in _REGISTRY):
-        raise ValueError(f"Domain '{domain}' not found in configuration")
+        raise ValueError(f"no format is registered for {domain}")
     spec = _REGISTRY.get((domain.lower(), name.lower()))
     if spec is None:
-        raise ValueError(f"Unsupported format type: {name}")
+        raise ValueError(f"{domain} has no format {name}")
     return spec
 
 
