@@ -40,19 +40,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[Column], out: str, chunks: int = 4096) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[Column], out: str, chunks: int = 4096, cut: Column | None = None) -> DataFrame:
     """Gapless numbers from 0 within each (non-null) ``group``, in a hash order.
 
     Every group is cut by a hash of ``order`` into ``chunks`` parts that are
     numbered alone and shifted by the counts of the parts before them, so a
-    group that holds a third of all rows is still numbered by many tasks."""
-    cut = df.withColumn("_cut", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
-    before = (cut.groupBy(*group, "_cut").count()
+    group that holds a third of all rows is still numbered by many tasks.  If
+    ``order`` is spread evenly already, ``cut`` can give the parts: numbers
+    then follow (cut, order)."""
+    here = [F.xxhash64(F.lit(7), *order), *order] if cut is None else order
+    parts = df.withColumn("_cut", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int") if cut is None else cut)
+    before = (parts.groupBy(*group, "_cut").count()
               .withColumn("_before", F.coalesce(
                   F.sum("count").over(Window.partitionBy(*group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)),
                   F.lit(0)))
               .drop("count"))
-    here = Window.partitionBy(*group, "_cut").orderBy(F.xxhash64(F.lit(7), *order), *order)
-    return (cut.join(before, [*group, "_cut"])
-            .withColumn(out, F.col("_before") + F.row_number().over(here) - 1)
+    return (parts.join(before, [*group, "_cut"])
+            .withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_cut").orderBy(*here)) - 1)
             .drop("_cut", "_before"))

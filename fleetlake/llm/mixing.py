@@ -64,11 +64,12 @@ def mix(docs: DataFrame, keep: Column, weights: dict[str, float] | None = None,
     hash order of (doc_id, text) inside their source, equal rows in any order.
     An empty table gives no row."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    rows = docs.select(keep.alias("kept_as"), key.alias("key"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("id_hash"),
-                       F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_hash"))
+    place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    rows = docs.select(keep.alias("kept_as"), key.alias("key"), place.alias("place"))
     sources = rows.groupBy("key").agg(F.count("*").alias("rows"))
     plan = schedule(target_slots(sources, weights, temperature, period))
-    ranked = numbered(rows, ["key"], [F.col("id_hash"), F.col("text_hash")], "rank")
+    # the first three of the hash's hexadecimal digits cut every source into 4096 runs
+    ranked = numbered(rows, ["key"], [F.col("place")], "rank", cut=F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
     # at most one row for each slot of the period
     placed = ranked.join(F.broadcast(plan), "key").withColumn("block", F.expr(f"rank div {block_rows}"))
     placed = placed.withColumn("cycle", F.expr("block div n")).withColumn("at", F.expr("slots[cast(block % n as int)]"))
@@ -87,3 +88,33 @@ def mixed(docs: DataFrame) -> DataFrame:
     range-partitioned by position and sorted, so that the files written from
     them, in name order, hold the mix."""
     return mix(docs, F.struct("*")).repartitionByRange("position").sortWithinPartitions("position").select("kept_as.*")
+
+
+MIX_SQL = """
+WITH RECURSIVE r AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS key, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS place FROM documents
+), ranked AS (
+  SELECT doc_id, source, key, row_number() OVER (PARTITION BY key ORDER BY place) - 1 AS rank FROM r
+), sources AS (
+  SELECT key, count(*) AS n_rows FROM r GROUP BY key
+), targets AS (
+  SELECT key, n_rows, row_number() OVER (ORDER BY key) AS i, greatest(1, round(pow(n_rows, 0.5) / sum(pow(n_rows, 0.5)) OVER () * 1000))::BIGINT AS n FROM sources
+), lists AS (
+  SELECT list(n ORDER BY i) AS n_of, list(n_rows ORDER BY i) AS rows_of, sum(n)::BIGINT AS total FROM targets
+), state AS (
+  SELECT 0::BIGINT AS t, list_transform(n_of, lambda n: 0::BIGINT) AS before, n_of, rows_of, total,
+         list_min(list_transform(n_of, lambda n, i: ((total + n - 1) // n) * 4096 + i)) % 4096 AS pick
+  FROM lists WHERE total > 0
+  UNION ALL
+  SELECT t, before, n_of, rows_of, total,
+         list_min(list_transform(before, lambda k, i: CASE WHEN k * total // n_of[i] <= t THEN (((k + 1) * total + n_of[i] - 1) // n_of[i]) * 4096 + i END)) % 4096
+  FROM (SELECT t + 1 AS t, list_transform(before, lambda k, i: CASE WHEN i = pick THEN k + 1 ELSE k END) AS before, n_of, rows_of, total FROM state WHERE t + 1 < total)
+), slots AS (
+  SELECT *, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM state
+), placed AS (
+  SELECT doc_id, source, key, rank, i, n, rank // 16 AS block, rank // 16 // n AS cycle FROM ranked JOIN targets USING (key)
+)
+SELECT doc_id, source, block, block * total // n AS release, ((block + 1) * total + n - 1) // n AS deadline, cycle * total + t AS slot,
+       (list_sum(list_transform(rows_of, lambda x, j: least(x, 16 * (cycle * n_of[j] + before[j])))) + rank % 16)::BIGINT AS position
+FROM placed JOIN slots ON pick = i AND nth = block % n
+"""

@@ -128,3 +128,61 @@ def quality_query(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
     return score(docs, F.struct("*")).filter("kept").select("kept_as.*")
+
+
+def _sql() -> str:
+    common = ", ".join(f"('{lang}', {words})" for lang, words in COMMON_WORDS.items())
+    shares = ", ".join(f"length(regexp_replace(text, '[^{c}]', '', 'g'))" for c in ("a-z", "\\x20\\x09-\\x0D", "\\x{80}-\\x{10FFFF}", "A-Z", "0-9", ".,;:!?''\"()-"))
+    return rf"""
+WITH t AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE 'other' END AS lang FROM documents
+), w AS MATERIALIZED (
+  SELECT rid, lang, unnest(words) AS word, generate_subscripts(words, 1) AS i
+  FROM (SELECT rid, lang, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t)
+), triples AS (
+  SELECT rid, i, word, lead(word, 1) OVER o AS word2, lead(word, 2) OVER o AS word3 FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)
+), twice AS (
+  SELECT rid, i, word, word3 IS NOT NULL AND count(*) OVER (PARTITION BY rid, word, word2, word3) > 1 AS again FROM triples
+), inside AS (
+  SELECT rid, word, again OR coalesce(lag(again, 1) OVER o, false) OR coalesce(lag(again, 2) OVER o, false) AS repeated FROM twice WINDOW o AS (PARTITION BY rid ORDER BY i)
+), by_words AS (
+  SELECT rid, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars, count(*) FILTER (repeated) AS n_repeat_words FROM inside GROUP BY rid
+), common AS (
+  SELECT lang, unnest(words) AS word FROM (VALUES {common}) AS c(lang, words)
+), bins AS (
+  SELECT lang, word AS bin FROM common UNION ALL SELECT DISTINCT lang, '' FROM common
+), counted AS (
+  SELECT w.rid, coalesce(common.word, '') AS bin, count(*) AS x FROM w LEFT JOIN common ON common.lang = w.lang AND common.word = lower(w.word) GROUP BY ALL
+), classes AS (
+  SELECT rid, lang, length(text) AS n, [{shares}] AS shares FROM t
+), h AS MATERIALIZED (
+  SELECT rid, lang, 'class' AS kind, unnest(['1', '2', '3', '4', '5', '6', '7']) AS bin, unnest(list_append(shares, n - list_sum(shares)::BIGINT))::DOUBLE AS x FROM classes
+  UNION ALL
+  SELECT t.rid, t.lang, 'word', bins.bin, coalesce(counted.x, 0)::DOUBLE FROM t JOIN bins USING (lang) LEFT JOIN counted ON counted.rid = t.rid AND counted.bin = bins.bin
+), sums AS (
+  SELECT lang, kind, bin, sum(x) AS y FROM h GROUP BY ALL
+), refs AS (
+  SELECT lang, kind, bin, y / nullif(sum(y) OVER (PARTITION BY lang, kind), 0) AS b FROM sums
+), parts AS (
+  SELECT rid, lang, kind, bin, x / nullif(sum(x) OVER (PARTITION BY rid, kind), 0) AS a FROM h
+), distances AS (
+  SELECT rid, kind, coalesce(sqrt(greatest(0, sum(CASE WHEN a > 0 THEN a * log2(2 * a / (a + b)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(2 * b / (a + b)) ELSE 0 END) / 2)), 0) AS d
+  FROM parts JOIN refs USING (lang, kind, bin) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY rid, kind
+), lines AS (
+  SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t
+), base AS (
+  SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         CASE WHEN length(text) >= 400 THEN coalesce(c.d, 0) ELSE 0 END AS class_distance, CASE WHEN coalesce(n_words, 0) >= 100 THEN coalesce(v.d, 0) ELSE 0 END AS word_distance
+  FROM t JOIN lines USING (rid) LEFT JOIN by_words USING (rid)
+  LEFT JOIN distances c ON c.rid = t.rid AND c.kind = 'class' LEFT JOIN distances v ON v.rid = t.rid AND v.kind = 'word'
+), failed AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       base_failed, NOT base_failed AND class_distance <= 0.3 AND word_distance <= 0.35 AS kept
+FROM failed
+"""
+
+
+QUALITY_SQL = _sql()

@@ -30,4 +30,4 @@ QUERIES = {
     "op10_concat_and_cut": lambda spark, d: packing.piece_digest(packing.pack(table(spark, d, "documents"), tokenizer_path())),
 }
 
-ORACLE = {"op5_incremental_mih": hamming.SEARCH_SQL, "op7_chat_format": chat.CHAT_SQL}
+ORACLE = {"op1_pfair_mix": mixing.MIX_SQL, "op3_divergence_quality": quality.QUALITY_SQL, "op5_incremental_mih": hamming.SEARCH_SQL, "op7_chat_format": chat.CHAT_SQL}
