@@ -165,3 +165,26 @@ def test_packing_round_trip(hard, nothing):
 
 def test_schemas_of_empty_tables(nothing):
     assert DOCS.names == nothing.columns
+
+
+def in_duckdb(sql, rows):
+    """Rows of the SQL over ``rows`` as documents, as sets of dicts' items."""
+    import duckdb
+    import pyarrow as pa
+
+    documents = pa.table({f.name: pa.array([r[i] for r in rows], pa.int64() if f.dataType.simpleString() == "bigint" else pa.string()) for i, f in enumerate(DOCS)})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    cursor = con.execute(sql)
+    return rows_of([d[0] for d in cursor.description], cursor.fetchall())
+
+
+def rows_of(names, rows):
+    return collections.Counter(frozenset(zip(names, r)) for r in rows)
+
+
+@pytest.mark.parametrize("query, sql", [(mixing.mix_query, mixing.MIX_SQL), (quality.quality_query, quality.QUALITY_SQL)])
+def test_sql_gives_the_same_rows(query, sql, hard, nothing):
+    got = query(hard)
+    assert rows_of(got.columns, map(tuple, got.collect())) == in_duckdb(sql, ROWS)
+    assert query(nothing).count() == 0 and not in_duckdb(sql, [])
