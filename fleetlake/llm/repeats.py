@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,9 @@ from fleetlake.session import ship_code
 MIN_BYTES, GRAM = 400, 100
 #: Bytes that are looked at at once; longer texts are cut into overlapping pieces.
 CHUNK = 300_000
-#: Frames of one anchor above which its suffixes are dealt once more, by the bytes around the anchor.
+#: Frames of one anchor above which its suffixes are sorted by many tasks.
 MANY_FRAMES = 20_000
+#: Starts that one look at their common bytes can rule out at once.
 SLICE = 32
 
 
@@ -124,27 +126,44 @@ def frames(texts: DataFrame, min_bytes: int, gram: int) -> DataFrame:
     return texts.select("tid", "bytes").mapInPandas(cut, "tid binary, lo long, anchor long, at int, starts int, f1 long, f2 long")
 
 
-def _scan(lcp: list[int], left: list[int], least: int) -> list[tuple[int, int, int]]:
+def _step(stack: list, now: int, last: int, lo: int, hi: int) -> list[tuple[int, int, int]]:
+    """One step of the stack scan: suffix ``last``, with left neighbours from
+    ``lo`` to ``hi``, shares ``now`` bytes (0: too few) with the next one.  The
+    intervals (first, last, length) that end here and whose left neighbours
+    are not all the same; ``stack`` holds the open ones."""
+    found, first = [], last
+    while stack and stack[-1][0] > now:
+        length, first, x, y = stack.pop()
+        lo, hi = min(lo, x), max(hi, y)
+        if lo != hi:
+            found.append((first, last, length))
+    if now:
+        if stack and stack[-1][0] == now:
+            _, first, x, y = stack.pop()
+            lo, hi = min(lo, x), max(hi, y)
+        stack.append((now, first, lo, hi))
+    return found
+
+
+def _scan(lcp: list[int], lo: list[int], hi: list[int], least: int) -> list[tuple[int, int, int]]:
     """The intervals (first, last, length) with ``length`` >= ``least`` of the
     common-prefix interval tree whose left neighbours are not all the same.
-    ``lcp[i]`` is what suffixes i - 1 and i share; ``left`` the neighbours."""
+    ``lcp[i]`` is what suffixes i - 1 and i share; ``lo`` and ``hi`` the
+    smallest and greatest neighbour of each."""
     found, stack = [], []  # (length, first, smallest and greatest left neighbour)
-    for i in range(1, len(left) + 1):
-        now = lcp[i] if i < len(left) and lcp[i] >= least else 0
-        first, lo, hi = i - 1, left[i - 1], left[i - 1]
-        while stack and stack[-1][0] > now:
-            length, first, x, y = stack.pop()
-            lo, hi = min(lo, x), max(hi, y)
-            if lo != hi:
-                found.append((first, i - 1, length))
-        if now:
-            if stack and stack[-1][0] == now:
-                length, first, x, y = stack.pop()
-                lo, hi = min(lo, x), max(hi, y)
-            stack.append((now, first, lo, hi))
+    for i in range(len(lo)):
+        found += _step(stack, lcp[i + 1] if i + 1 < len(lo) and lcp[i + 1] >= least else 0, i, lo[i], hi[i])
     return found
 
 
+def _shared(s: bytes, t: bytes) -> int:
+    """How many bytes two strings share at their beginning."""
+    n = min(len(s), len(t))
+    if s[:n] != t[:n]:
+        return int((np.frombuffer(s, np.uint8, n) != np.frombuffer(t, np.uint8, n)).argmax())
+    return n
+
+
 def _suffix_array(cls: np.ndarray, contents: list[bytes], starts: np.ndarray, min_bytes: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """For frames sorted by class: frame and offset of the suffixes in order,
     the bytes each shares with a neighbour at most, and the groups as
@@ -170,15 +189,11 @@ def _suffix_array(cls: np.ndarray, contents: list[bytes], starts: np.ndarray, mi
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
     lcp = [0]
     for (c, s, *_), (d, t, *_) in zip(suffixes, suffixes[1:]):
-        n = min(len(s), len(t)) if c == d else 0
-        if n and s[:n] != t[:n]:
-            differ = np.frombuffer(s, np.uint8, n) != np.frombuffer(t, np.uint8, n)
-            n = int(differ.argmax())
-        lcp.append(n)
+        lcp.append(_shared(s, t) if c == d else 0)
     left = [contents[f][o - 1] if o else 1000 + i for i, (_, _, f, o) in enumerate(suffixes)]
     share = np.array([*lcp, 0])
     share = np.maximum(share[:-1], share[1:])
-    return np.array([s[2] for s in suffixes]), np.array([s[3] for s in suffixes]), share, _scan(lcp, left, min_bytes)
+    return np.array([s[2] for s in suffixes]), np.array([s[3] for s in suffixes]), share, _scan(lcp, left, left, min_bytes)
 
 
 def tree_rows(reps: DataFrame, min_bytes: int) -> DataFrame:
@@ -220,6 +235,160 @@ def tree_rows(reps: DataFrame, min_bytes: int) -> DataFrame:
             .mapInPandas(build, "cls long, rank long, id binary, offset long, last_rank long, length long"))
 
 
+class _Border:
+    """What a part of the suffix array tells to its neighbours about a class
+    that touches a border: runs of suffixes (first, last, smallest and greatest
+    left neighbour), set apart where the shared bytes are a strict minimum of
+    those before, or of those behind.  An interval that touches the border
+    begins or ends at such a place, so there are at most two runs for each
+    length."""
+
+    def __init__(self) -> None:
+        self.runs: list[list[int]] = []  # (shared with the run before, minimum of those before, first, last, lo, hi)
+        self.least = 2**31 - 1
+
+    def add(self, shared: int, rank: int, left: int) -> None:
+        while len(self.runs) > 1 and not self.runs[-1][1] and self.runs[-1][0] >= shared:
+            *_, last, lo, hi = self.runs.pop()
+            before = self.runs[-1]
+            before[3:] = [last, min(before[4], lo), max(before[5], hi)]
+        lowest = shared < self.least
+        self.least = min(self.least, shared) if self.runs else self.least
+        self.runs.append([shared, lowest, rank, rank, left, left])
+
+
+TREE = "cls long, rank long, id binary, offset long, last_rank long, length long"
+SCANNED = f"{TREE}, part long, first long, last long, shared long, lo long, hi long, head binary, head_id binary, head_offset long, tail binary, tail_id binary, tail_offset long"
+#: Ranks of a part begin at its number times this.
+PART = 2**32
+
+
+def _types(schema: str) -> dict[str, str]:
+    return {c.split()[0]: "Int64" for c in schema.split(", ") if c.endswith(" long")}
+
+
+def _windows(many: DataFrame, min_bytes: int) -> DataFrame:
+    """(cls, id, offset, h1, h2, before): hashes of the ``min_bytes`` bytes at
+    the starts of each frame, and what stands before them (a frame's first
+    start: a number of its own).  Starts are left out where the bytes that
+    ``SLICE`` of them have in common occur once."""
+    ship_code()
+    cores = (many.withColumn("slice", F.explode(F.expr(f"sequence((at - starts + 1) div {SLICE}, at div {SLICE})")))
+             .select("id", "slice", F.xxhash64("cls", "slice", F.expr(f"substring(content, cast(at - slice * {SLICE} + 1 as int), {min_bytes - SLICE + 1})")).alias("core")))
+    again = written(cores.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "cores")
+    looked_at = many.join(cores.join(again, "core").groupBy("id").agg(F.collect_set("slice").alias("slices")), "id")
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = Rolling(4, 0x9E3779B97F4A7C15), Rolling(5, 0xC2B2AE3D27D4EB4F)
+        for rows in parts:
+            for i in range(0, len(rows), 500):
+                part = rows.iloc[i : i + 500]
+                starts, contents = part["starts"].to_numpy(), part["content"].tolist()
+                data = np.frombuffer(b"".join(contents), dtype=np.uint8)
+                sizes = np.array([len(c) for c in contents])
+                sa, sb = a.sums(data), b.sums(data)
+                frame = np.repeat(np.arange(len(contents)), starts)
+                offset = np.arange(len(frame)) - np.repeat(np.cumsum(starts) - starts, starts)
+                of_slice = (part["at"].to_numpy()[frame] - offset) // SLICE
+                most = int(of_slice.max()) + 1
+                wanted = np.zeros((len(contents), most), dtype=bool)
+                for k, x in enumerate(part["slices"]):
+                    wanted[k, [y for y in x if y < most]] = True
+                some = wanted[frame, of_slice]
+                frame, offset = frame[some], offset[some]
+                pos = (np.cumsum(sizes) - sizes)[frame] + offset
+                own = np.array([1000 + int.from_bytes(x[:7], "big") for x in part["id"]])
+                yield pd.DataFrame({"cls": part["cls"].to_numpy()[frame], "id": part["id"].to_numpy()[frame], "offset": offset,
+                                    "h1": a.spans(sa, pos, pos + min_bytes).view(np.int64), "h2": b.spans(sb, pos, pos + min_bytes).view(np.int64),
+                                    "before": np.where(offset > 0, data[np.maximum(pos - 1, 0)].astype(np.int64), own[frame])})
+
+    return looked_at.select("cls", "id", "at", "starts", "content", "slices").mapInPandas(cut, "cls long, id binary, offset long, h1 long, h2 long, before long")
+
+
+def wide_tree_rows(many: DataFrame, min_bytes: int) -> DataFrame:
+    """As ``tree_rows``, for classes of any size: no task holds a class.
+
+    Ranks go up with the suffix array and may leave numbers out."""
+    ship_code()
+    windows = _windows(many, min_bytes)
+    several = written(windows.groupBy("cls", "h1", "h2").agg(F.count("*").alias("n"), F.min("before").alias("lo"), F.max("before").alias("hi"))
+                      .filter("n > 1 and lo != hi").select("cls", "h1", "h2"), "windows")
+    # a frame has at most as many starts as windows of its bytes
+    chosen = windows.join(several, ["cls", "h1", "h2"]).groupBy("id").agg(F.collect_list(F.struct("offset", "before")).alias("s"))
+    suffixes = (many.select("cls", "id", "content").join(chosen, "id").select("cls", "id", "content", F.explode("s").alias("s"))
+                .select("cls", F.expr("substring(content, cast(s.offset + 1 as int))").alias("suffix"), "id", "s.offset", "s.before"))
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part_no = TaskContext.get().partitionId()
+        rank, stack, out, runs, last, at_start = part_no * PART - 1, [], [], _Border(), None, True
+
+        def groups(shared: int, lo: int) -> None:
+            for first, end, length in _step(stack, shared, rank, lo, lo):
+                if first > part_no * PART:  # what touches the beginning is scanned with the part before
+                    out.append((cls, first, None, None, end, length) + nothing)
+
+        def border(ends: bool) -> None:
+            for i, (shared, _, first, end, lo, hi) in enumerate(runs.runs):
+                begins, finishes = at_start and i == 0, ends and i == len(runs.runs) - 1
+                out.append((cls, None, None, None, None, None, part_no, first, end, shared if i else 0, lo, hi,
+                            *(head if begins else none), *(last if finishes else none)))
+
+        none, nothing = (None,) * 3, (None,) * 12
+        columns = [c.split()[0] for c in SCANNED.split(", ")]
+        cls = held = head = None
+        held_share = 0
+        for rows in parts:
+            for c, suffix, i, o, before in zip(rows["cls"], rows["suffix"], rows["id"], rows["offset"], rows["before"]):
+                shared = _shared(last[0], suffix) if cls == c else 0
+                shared = shared if shared >= min_bytes else 0
+                if held is not None:
+                    groups(shared, held[3])
+                    if max(held_share, shared):
+                        out.append((cls, rank, held[1], held[2], None, max(held_share, shared)) + nothing)
+                    if cls != c:
+                        if at_start:
+                            border(False)
+                        at_start, runs = False, _Border()
+                rank += 1
+                cls, held, held_share, last = c, (suffix, i, o, before), shared, (suffix, i, o)
+                head = last if rank == part_no * PART else head
+                runs.add(shared, rank, before)
+            yield pd.DataFrame(out, columns=columns).astype(_types(SCANNED))
+            out = []
+        if held is not None:
+            if held_share:
+                out.append((cls, rank, held[1], held[2], None, held_share) + nothing)
+            border(True)
+            yield pd.DataFrame(out, columns=columns).astype(_types(SCANNED))
+
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["part", "first"], ignore_index=True)
+        first, last, part = (rows[c].tolist() for c in ("first", "last", "part"))
+        shared = rows["shared"].tolist()
+        heads, tails = (list(zip(rows[e].tolist(), rows[f"{e}_id"].tolist(), rows[f"{e}_offset"].tolist())) for e in ("head", "tail"))
+        cls, out = rows["cls"].iloc[0], []
+        for i in range(1, len(rows)):
+            if part[i] != part[i - 1]:
+                (s, *here), (t, *there) = tails[i - 1], heads[i]
+                n = _shared(s, t)
+                shared[i] = n if n >= min_bytes else 0
+                if shared[i]:
+                    out += [(cls, last[i - 1], *here, None, n), (cls, first[i], *there, None, n)]
+        for a, b, length in _scan(shared, rows["lo"].tolist(), rows["hi"].tolist(), min_bytes):
+            # others end inside of their part, which has listed them
+            if part[a] != part[b] or heads[a][0] is not None or tails[b][0] is not None:
+                out.append((cls, first[a], None, None, last[b], length))
+        return pd.DataFrame(out, columns=["cls", "rank", "id", "offset", "last_rank", "length"]).astype(_types(TREE))
+
+    order = ["cls", "suffix", "id", "offset"]
+    parts = written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+                    .mapInPandas(scan, SCANNED), "scanned")
+    rows = parts.filter("part is null").select("cls", "rank", "id", "offset", "last_rank", "length")
+    # some runs for each part that a class lies in
+    across = parts.filter("part is not null").groupBy("cls").applyInPandas(joined, TREE)
+    return rows.unionByName(across)
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(tid, bytes, copies), written; null texts are empty."""
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -248,18 +417,13 @@ def repeats(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> t
     wanted = picked.groupBy(F.col("one.tid").alias("tid")).agg(F.collect_list(F.struct("anchor", "id", "at", "starts", "n_frames", F.col("one.lo").alias("lo"))).alias("f"))
     with_bytes = (texts.select("tid", "bytes").join(wanted, "tid").select("bytes", F.explode("f").alias("f")).select("f.*", "bytes")
                   .withColumn("content", F.expr(f"substring(bytes, cast(lo + 1 as int), starts - 1 + {min_bytes})")).drop("bytes"))
-    few = with_bytes.filter(f"n_frames <= {MANY_FRAMES}").select(F.col("anchor").alias("cls"), "id", F.lit(0).alias("shift"), "starts", "content")
-    # one anchor's many frames: suffixes that begin ``rel`` bytes before the anchor, 32 values of it at a time, all hold the same bytes around it
-    slices = (with_bytes.filter(f"n_frames > {MANY_FRAMES}")
-              .withColumn("slice", F.explode(F.expr(f"sequence((at - starts + 1) div {SLICE}, at div {SLICE})")))
-              .withColumn("shift", F.expr(f"at - least(at, slice * {SLICE} + {SLICE - 1})"))
-              .withColumn("n", F.expr(f"at - greatest(at - starts + 1, slice * {SLICE}) - shift + 1"))
-              .withColumn("core", F.expr(f"substring(content, at - slice * {SLICE} + 1, {min_bytes - SLICE + 1})"))
-              .select(F.xxhash64("anchor", "slice", "core").alias("cls"), "id", "shift", F.col("n").alias("starts"), F.expr(f"substring(content, shift + 1, n - 1 + {min_bytes})").alias("content")))
-    named = few.unionByName(slices).withColumn("id", F.concat("id", F.unhex(F.lpad(F.hex("shift"), 4, "0"))))
-    tree = written(tree_rows(named, min_bytes), "tree")
-    found = (tree.filter("id is not null")
-             .select(F.expr("substring(id, 1, 16)").alias("id"), "cls", "rank", (F.col("offset") + F.conv(F.hex(F.expr("substring(id, 17, 2)")), 16, 10).cast("long")).alias("offset"), "length"))
+    named = with_bytes.select(F.col("anchor").alias("cls"), "id", "at", "starts", "content", "n_frames")
+    tree = tree_rows(named.filter(f"n_frames <= {MANY_FRAMES}"), min_bytes)
+    if not several.filter(f"n_frames > {MANY_FRAMES}").isEmpty():
+        tree = tree.unionByName(wide_tree_rows(written(named.filter(f"n_frames > {MANY_FRAMES}"), "many"), min_bytes))
+    tree = written(tree, "tree")
+    # a suffix at the border of two parts has a row for either side
+    found = tree.filter("id is not null").groupBy("id", "cls", "rank", "offset").agg(F.max("length").alias("length")).select("id", "cls", "rank", "offset", "length")
     many = different.filter("times > 1").select("id", F.col("anchor").alias("cls"), F.lit(None).cast("long").alias("rank"), F.lit(0).cast("long").alias("offset"), whole.cast("long").alias("length"))
     return shared.select("tid", "lo", "id"), found.unionByName(many), tree.filter("id is null").select("cls", "rank", "last_rank", "length")
 

@@ -132,6 +132,37 @@ def test_maximal_repeats_have_all_their_places(spark):
         assert len(found) >= 400 and len(want) > 1
 
 
+def test_groups_of_a_common_passage_are_sorted_by_many_tasks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    passage, other = word(470), word(430)
+    texts = [word(rng.randrange(1, 40)) + passage + word(rng.randrange(1, 40)) + (other + word(9) if i % 7 == 0 else "") for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def groups(many):
+        monkeypatch.setattr(repeats, "MANY_FRAMES", many)
+        _, suffixes, found = repeats.repeats(repeats.distinct_texts(docs))
+        places = collections.defaultdict(dict)
+        for r in suffixes.filter("rank is not null").collect():
+            assert r.rank not in places[r.cls]
+            places[r.cls][r.rank] = (bytes(r.id)[:16], r.offset, r.length)
+        out = [(g.length, frozenset(x[:2] for k, x in places[g.cls].items() if g.rank <= k <= g.last_rank)) for g in found.collect()]
+        longest = {x[:2]: x[2] for of in places.values() for x in of.values()}
+        return collections.Counter(out), longest, max(len({k >> 32 for k in of}) for of in places.values())
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        want, lengths, tasks = groups(20_000)
+        assert tasks == 1 and max(len(of) for _, of in want) >= 300
+        assert set(want.values()) == {1}
+        got, others, tasks = groups(20)
+        assert got == want and others == lengths and tasks > 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_packing_round_trip(hard, nothing):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
