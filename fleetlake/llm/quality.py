@@ -3,7 +3,8 @@
 Each document's histogram of character classes, and of its language's common
 words, is compared with the histogram of all documents of that language by
 Jensen-Shannon distance (base 2, 0 to 1).  Short documents are not compared:
-their histograms are too coarse.
+their histograms are too coarse.  Nor are documents without a language, or of
+one without a word list that has too little text to tell what is usual in it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se"],
 }
 N_COMMON = 10
+#: Characters that a language without a word list must have in all to be compared with.
+LEAST_CHARS = 100_000
+#: Parts that the rows of a language are dealt to.
+SALTS = 256
 #: Character classes, taken off one after the other; what is left are symbols.
 CLASSES = ["[a-z]+", "[\\x20\\x09-\\x0D]+", "[^\\x00-\\x7F]+", "[A-Z]+", "[0-9]+", "[.,;:!?'\"()-]+"]
 BLANK = " \t\n\x0b\f\r"
@@ -36,14 +41,9 @@ def _common(lang: Column) -> Column:
     return F.coalesce(*lists, F.array().cast("array<string>"))
 
 
-def language(lang: Column) -> Column:
-    """The language, or ``other`` for those without a word list, null included."""
-    return F.when(lang.isin(list(COMMON_WORDS)), lang).otherwise(F.lit("other"))
-
-
 def _with_words(docs: DataFrame, *keep: Column) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return (docs.select(*keep, text.alias("text"), language(F.col("lang")).alias("lang"))
+    return (docs.select(*keep, text.alias("text"), "lang")
             .withColumn("words", F.split(F.btrim("text", F.lit(BLANK)), "[\\x20\\x09-\\x0D]+"))
             .withColumn("n_words", F.when(F.btrim("text", F.lit(BLANK)) == "", 0).otherwise(F.size("words")).cast("long")))
 
@@ -67,9 +67,12 @@ def _with_histograms(rows: DataFrame) -> DataFrame:
 
 def references(rows: DataFrame) -> DataFrame:
     """(lang, ref_classes, ref_common): the summed histograms of all documents
-    of each language.  One row for each word list and one for the rest."""
+    of each language, as ``lang`` names it.  Without a row: null, and languages
+    without a word list that have less than ``LEAST_CHARS`` characters."""
     sums = lambda c, n: F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0.0)) for i in range(n)])
-    return rows.groupBy("lang").agg(sums("classes", len(CLASSES) + 1).alias("ref_classes"), sums("common", N_COMMON + 1).alias("ref_common"))
+    return (rows.filter("lang is not null").groupBy("lang")
+            .agg(sums("classes", len(CLASSES) + 1).alias("ref_classes"), sums("common", N_COMMON + 1).alias("ref_common"), F.sum("n_chars").alias("chars"))
+            .filter(F.col("lang").isin(list(COMMON_WORDS)) | (F.col("chars") >= LEAST_CHARS)).drop("chars"))
 
 
 def js_distance(counts: Column, reference: Column) -> Column:
@@ -98,9 +101,10 @@ def score(docs: DataFrame, keep: Column, min_chars: int = 400, min_words: int =
     kept.
 
     A null text is empty; an empty text has no word and fails the base rule.  A
-    language without a word list, or a null one, is compared by character
-    classes alone, with the other such documents.  Distances are 0 below
-    ``min_chars`` characters or ``min_words`` words.  Repeated rows and doc_ids
+    language without a word list is compared by character classes alone, with
+    the documents of that very language, and not at all if these have too
+    little text or it is null.  Distances are 0 where nothing is compared, and
+    below ``min_chars`` characters or ``min_words`` words.  Repeated rows and doc_ids
     are scored one by one; an empty table gives no row."""
     rows = _with_histograms(_repeat_words(_with_words(docs, keep.alias("kept_as"))))
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != ""))
@@ -110,12 +114,14 @@ def score(docs: DataFrame, keep: Column, min_chars: int = 400, min_words: int =
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.octet_length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words"), "quality")
-    rows = rows.join(F.broadcast(references(rows)), "lang", "left")  # five rows at most
+    # any number of languages: written, so that Spark knows whether it can broadcast them
+    known = written(references(rows), "references").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("n_chars", "n_words", "word_chars", "classes"), F.lit(SALTS)).cast("int")).join(known, ["lang", "salt"], "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (rows.select(
         "kept_as", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.when(F.col("n_chars") >= min_chars, js_distance(F.col("classes"), F.col("ref_classes"))).otherwise(0.0).alias("class_distance"),
-        F.when((F.col("n_words") >= min_words) & (F.col("lang") != "other"), js_distance(F.col("common"), F.col("ref_common"))).otherwise(0.0).alias("word_distance"),
+        F.when((F.col("n_words") >= min_words) & F.col("lang").isin(list(COMMON_WORDS)), js_distance(F.col("common"), F.col("ref_common"))).otherwise(0.0).alias("word_distance"),
         failed.alias("base_failed"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance)))
 

@@ -70,6 +70,19 @@ def test_quality_counts(hard, nothing):
     assert kept.columns == hard.columns and kept.filter("doc_id = 12").isEmpty()
 
 
+def test_clean_text_of_any_language_is_kept(spark):
+    import random
+
+    rng = random.Random(6)
+    latin, cyrillic, marks = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыьэюя", "#%&*+=~^"
+    prose = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(150))
+    langs = [("ru", cyrillic, 200)] + [("nl", latin, 200)] + [(None, latin, 10), (None, cyrillic, 3), ("other", latin, 5), ("uk", cyrillic, 2)]
+    rows = [(lang, prose(letters)) for lang, letters, n in langs for _ in range(n)] + [("nl", prose(marks)), ("ru", prose(latin))]
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == set(range(len(rows) - 2))
+
+
 def components():
     sets = []
     for x in ROWS:
