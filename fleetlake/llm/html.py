@@ -1,10 +1,11 @@
 """Main text of web pages by consensus host paths.
 
-Each page is parsed and its containers are scored by the text that stands in
-them outside links and boilerplate.  The page votes for the generalised
-tag-class path of its best container with that much weight; Spark adds the
-votes up for each host.  Pages are then extracted again from their host's
-winning path, or from their own best container where that path has no text.
+Each page is parsed and its containers are scored by the text of the blocks in
+them that are not boilerplate nor mostly links.  The page votes for the
+generalised tag-class path of the lowest container that holds all of them, with
+that much weight; Spark adds the votes up for each host.  Pages are then
+extracted again from all elements of their host's winning path and what stands
+directly beside them, or from their own container where that path has no text.
 """
 
 from __future__ import annotations
@@ -32,17 +33,21 @@ NOISE = re.compile(
     r"share|sharing|social|related|recommend\w*|comments?|comment-?list|respond|replies|disqus|popups?|modal|overlay|toolbar|pagination|pager|footer|site-?header|page-?header|masthead|topbar|skip-?link|widgets?|outbrain|taboola)(?:$|[\s_-])", re.I)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary dialog alertdialog alert search menu menubar toolbar form".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: A container goes on to the child that holds this share of its text.
-SHARE = 0.7
+#: Class names that tell of a page's layout, not of what the element is.
+LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no)[_-]", re.I)
+#: Shares of a page's text above which an element, or the article in it, is not boilerplate by its name alone.
+SHARE, ARTICLE_SHARE = 0.9, 0.5
+#: Blocks that belong to the container that they stand beside.
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "children", "dropped", "size", "linked")
+    __slots__ = ("tag", "path", "parent", "children", "dropped", "named", "size", "linked", "main")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.path, self.parent, self.dropped = tag, path, parent, dropped
+    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, named: bool = False) -> None:
+        self.tag, self.path, self.parent, self.dropped, self.named = tag, path, parent, dropped, named
         self.children: list[Node | str] = []
-        self.size = self.linked = 0
+        self.size = self.linked = self.main = 0
 
 
 def _noise(tag: str, attrs: dict[str, str | None], inside: set[str]) -> bool:
@@ -50,7 +55,11 @@ def _noise(tag: str, attrs: dict[str, str | None], inside: set[str]) -> bool:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in NOISE_ROLES or HIDDEN.search(attrs.get("style") or ""):
         return tag not in ("html", "body")
-    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+    return False
+
+
+def _named_noise(tag: str, attrs: dict[str, str | None]) -> bool:
+    names = " ".join(n for n in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split() if not LAYOUT.search(n))
     return tag not in ("html", "body", "article", "main") and bool(NOISE.search(names))
 
 
@@ -79,7 +88,7 @@ class Tree(HTMLParser):
             node = node.parent
         classes = sorted({re.sub(r"\d+", "", c) for c in (known.get("class") or "").lower().split()} - {""})
         name = ".".join([tag, *classes])
-        node = Node(tag, f"{self.at.path}/{name}" if tag in CONTAINERS else self.at.path, self.at, self.at.dropped or _noise(tag, known, inside))
+        node = Node(tag, f"{self.at.path}/{name}" if tag in CONTAINERS else self.at.path, self.at, self.at.dropped or _noise(tag, known, inside), _named_noise(tag, known))
         self.at.children.append(node)
         self.at = node
 
@@ -108,32 +117,49 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
     def sized(self) -> list[Node]:
-        """All nodes, parents first, with ``size`` (characters of text outside
-        dropped elements) and ``linked`` (those in links)."""
+        """All nodes, parents first, with ``size`` (characters of blocks outside
+        dropped elements, without those that are mostly links)."""
         order, stack = [], [self.root]
         while stack:
             node = stack.pop()
             order.append(node)
-            stack.extend(c for c in node.children if isinstance(c, Node))
+            stack.extend(reversed([c for c in node.children if isinstance(c, Node)]))
+        for node in reversed(order):  # all text, to tell layout from boilerplate
+            if not node.dropped:
+                node.size = sum(len(c.strip()) if isinstance(c, str) else c.size for c in node.children)
+                node.main = max([c.main for c in node.children if isinstance(c, Node)] + [node.size if node.tag in ("article", "main") else 0])
+        whole = self.root.size
+        for node in order:
+            holds = whole and (node.size >= SHARE * whole or node.main >= ARTICLE_SHARE * whole)
+            node.dropped = node.dropped or (node.named and not holds) or (node.parent is not None and node.parent.dropped)
         for node in reversed(order):
+            node.size = node.linked = 0
             if node.dropped:
                 continue
+            below = 0  # in blocks of their own
             for c in node.children:
                 if isinstance(c, str):
                     n = len(c.strip())
                     node.size += n
                     node.linked += n if node.tag == "a" else 0
+                elif c.tag in BLOCKS:
+                    below += c.size
                 else:
                     node.size += c.size
+                    below += c.main
                     node.linked += c.size if node.tag == "a" else c.linked
+            if node.tag in BLOCKS:
+                node.size = below + (node.size if 2 * node.linked <= node.size else 0)
+                node.linked = node.main = 0
+            else:
+                node.main = below
         return order
 
 
 def best_container(nodes: list[Node]) -> Node:
-    """From the root down to the child with most of the text outside links,
-    as long as one has a good share; an article or main element ends the way."""
+    """The lowest container that holds all text that counts."""
     node = nodes[0]
-    while node.tag not in ("article", "main"):
+    while node.size:
         inner, stack = [], [c for c in node.children if isinstance(c, Node)]
         while stack:
             c = stack.pop()
@@ -143,8 +169,8 @@ def best_container(nodes: list[Node]) -> Node:
                 inner.append(c)
             else:
                 stack.extend(x for x in c.children if isinstance(x, Node))
-        best = max(inner, key=lambda c: (c.size - c.linked) * (2 if c.tag in ("article", "main") else 1), default=None)
-        if best is None or best.size - best.linked < SHARE * (node.size - node.linked) * (0.5 if best.tag in ("article", "main") else 1) or best.size == best.linked:
+        best = max(inner, key=lambda c: c.size, default=None)
+        if best is None or best.size < node.size:
             break
         node = best
     return node
@@ -173,14 +199,26 @@ def block_texts(node: Node) -> list[str]:
 def vote(html: str) -> tuple[str, int]:
     nodes = Tree(html).sized()
     best = best_container(nodes)
-    return best.path, max(0, best.size - best.linked)
+    return best.path, best.size
 
 
 def extract(html: str, path: str | None) -> str:
     nodes = Tree(html).sized()
-    fits = [n for n in nodes if n.path == path and n.tag in CONTAINERS and not n.dropped and n.size > n.linked] if path else []
-    best = max(fits, key=lambda n: n.size - n.linked) if fits else best_container(nodes)
-    return "\n\n".join(block_texts(best))
+    fits = {id(n): n for n in nodes if n.path == path and n.tag in CONTAINERS and not n.dropped and n.size} if path else {}
+    if not fits:
+        return "\n\n".join(block_texts(best_container(nodes)))
+    around = set()
+    for n in fits.values():
+        while (n := n.parent) is not None:
+            around.add(id(n))
+    taken, texts = set(), []
+    for n in nodes:  # in page order, parents first
+        if n.parent is not None and id(n.parent) in taken:
+            taken.add(id(n))
+        elif not n.dropped and (id(n) in fits or (n.tag in BESIDE and n.size and n.parent is not None and id(n.parent) in around)):
+            taken.add(id(n))
+            texts += block_texts(n)
+    return "\n\n".join(texts)
 
 
 def host(url: Column) -> Column:

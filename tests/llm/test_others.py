@@ -46,6 +46,25 @@ def test_a_page_without_its_hosts_container_uses_its_own(spark):
     assert got[7] == "another layout of this page" and got[1] == "text 1 goes on and on"
 
 
+def test_no_text_beside_or_inside_of_containers_is_lost(spark):
+    part = "a part with quite a lot of plain text in it, "
+    links = "<div><p><a href=/1>one</a> | <a href=/2>two</a></p></div>"
+    pages = [
+        (f"<h1>Head</h1><p>Lead</p><div class=part><p>{part}1</p></div>{links}<div class=part><p>{part * 9}2</p></div>", ["Head", "Lead", part + "1", "one | two", part * 9 + "2"]),
+        (f"<div class='layout has-sidebar'><article><p>{part}3</p></article></div>", [part + "3"]),
+        (f"<div class=page-with-comments><p>{part}4</p></div>", [part + "4"]),
+        (f"<div id=sidebar><article><h2>A</h2><p>{part}5</p></article></div><p>end</p>", ["A", part + "5", "end"]),
+        (f"<h1>Two</h1><article><p>{part}6</p></article><article><p>{part * 9}7</p></article>", ["Two", part + "6", part * 9 + "7"]),
+        (f"<div class=story><p>{part * 9}8</p></div><div class=related><p>Read on</p></div><div class=more><p>{part}9</p></div>", [part * 9 + "8", part + "9"]),
+    ]
+    rows = [(i, f"http://h{i}.example/", f"<body>{page}</body>") for i, (page, _) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join(t.strip() for t in texts) for i, (_, texts) in enumerate(pages)}
+    # the host's path, with what stands directly beside its elements, in page order
+    split = f"<body><div class=wrap><h1>Head</h1><section class=s><p>{part}1</p></section><div class=x><p>not of the path</p></div><section class=s><p>{part}2</p></section></div></body>"
+    assert html.extract(split, "html/div.wrap/section.s").split("\n\n") == ["Head", part + "1", part + "2"]
+
+
 def test_hamming_search_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(24)], "x") for i in range(300)]
