@@ -16,17 +16,21 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlake.session import ship_code
 
 #: Characters after which a text may be cut, and blanks that make a run long: results do not depend on either.
 PART, RUN = 100_000, 1_000
+#: Characters or bytes that are Python objects at once, unless one text is longer.
+AT_ONCE = 4_000_000
 #: The code points of the pattern's white-space class.
 WHITE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: \S leaves out everything that is white space to either matcher.
@@ -75,6 +79,26 @@ def _ranks(spark: SparkSession, ranks_path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
+def _with_column(rows: DataFrame, name: str, size: Column, made: Callable[[Codec, pa.RecordBatch], list], ranks_path: str, pattern: str, without: str = "") -> DataFrame:
+    """``rows`` with a binary column that a codec makes, and not the column
+    ``without``.  Only slices with ``AT_ONCE`` of ``size`` become Python objects
+    at once."""
+    ranks = _ranks(rows.sparkSession, ranks_path)
+    stay = [f for f in rows.schema.fields if f.name != without]
+    names = [f.name for f in stay]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(ranks.value, pattern)
+        for batch in batches:
+            part = np.cumsum(batch["_size"].to_numpy(zero_copy_only=False)) // AT_ONCE
+            bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for first, last in zip(bounds, bounds[1:]):
+                some = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*[some[c] for c in names], pa.array(made(codec, some), pa.binary())], [*names, name])
+
+    return rows.withColumn("_size", size.cast("long")).mapInArrow(run, T.StructType([*stay, T.StructField(name, T.BinaryType())]))
+
+
 def encode(docs: DataFrame, keep: Column, ranks_path: str, pattern: str) -> DataFrame:
     """(kept_as, ids) for each row: ``keep`` and the ids of the whole text.
 
@@ -82,31 +106,15 @@ def encode(docs: DataFrame, keep: Column, ranks_path: str, pattern: str) -> Data
     text.  Repeated rows are encoded one by one, other columns are not read, an
     empty table gives no row.  A text of any length is encoded as a whole: its
     parts only bound what the matcher sees at once."""
-    ranks = _ranks(docs.sparkSession, ranks_path)
     rows = docs.select(keep.alias("kept_as"), F.coalesce("text", F.lit("")).alias("text"))
-
-    @F.pandas_udf("binary")
-    def ids_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(ranks.value, pattern)
-        for part in parts:
-            yield part.map(codec.encode)
-
-    return rows.select("kept_as", ids_of("text").alias("ids"))
+    return _with_column(rows, "ids", F.length("text"), lambda codec, part: [codec.encode(t) for t in part["text"].to_pylist()], ranks_path, pattern, "text")
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``tokens`` with the column ``bytes``: what its ``ids`` stand for.  Null
     ids stay null, no ids are no bytes, and an id that the rank file lacks is
     an error."""
-    ranks = _ranks(tokens.sparkSession, ranks_path)
-
-    @F.pandas_udf("binary")
-    def bytes_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(ranks.value, pattern)
-        for part in parts:
-            yield part.map(codec.decode, na_action="ignore")
-
-    return tokens.withColumn("bytes", bytes_of("ids"))
+    return _with_column(tokens, "bytes", F.coalesce(F.octet_length("ids"), F.lit(0)), lambda codec, part: [None if x is None else codec.decode(x) for x in part["ids"].to_pylist()], ranks_path, pattern)
 
 
 def codec_query(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
