@@ -27,13 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlake.llm._common import written
 from fleetlake.session import ship_code
 
 MIN_BYTES, GRAM = 400, 100
+#: What the pipeline cuts: passages of over 50 words.  51 words of prose have about 270 to 390 bytes.
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 51, 240, 60
+WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes that are looked at at once; longer texts are cut into overlapping pieces.
 CHUNK = 300_000
 #: Frames of one anchor above which its suffixes are sorted by many tasks.
@@ -466,27 +469,33 @@ def repeats_query(docs: DataFrame) -> DataFrame:
     return rows.join(done, "tid").drop("tid")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def _in_characters(spans: Column, data: Column) -> Column:
+    """``spans`` drawn in to whole characters of the UTF-8 bytes ``data``."""
+    between = lambda a, b: F.hex(F.substring(data, (a + 1).cast("int"), (b - a).cast("int")))
+    size = lambda found: (F.length(found) / 2).cast("long")
+    # continuation bytes from a place on, and the beginning of a character before a place
+    tail = lambda at: size(F.regexp_extract(between(at, at + 3), "^((?:[89AB][0-9A-F])*)", 1))
+    lead = lambda at: size(F.regexp_extract(F.reverse(between(F.greatest(at - 3, F.lit(0)), at)), "^((?:[0-9A-F][89AB])*[0-9A-F][C-F])?", 0))
+    return F.transform(spans, lambda s: F.struct((s["start"] + tail(s["start"])).alias("start"), F.when(tail(s["end"]) > 0, s["end"] - lead(s["end"])).otherwise(s["end"]).alias("end")))
+
+
+def without_repeats(docs: DataFrame, min_bytes: int = PASSAGE_BYTES, gram: int = PASSAGE_GRAM, min_words: int = PASSAGE_WORDS, long_bytes: int = MIN_BYTES) -> DataFrame:
     """The documents with their repeated passages taken out of ``text``, and
     ``n_chars`` counted anew where there is such a column; other columns stay.
 
-    Cuts are drawn in to whole characters, so a repeat that ends inside a
-    character leaves that character.  Documents of which no word is left go,
-    those without any repeat all stay as they are, null texts included."""
-    texts = distinct_texts(docs)
-    found = texts.join(removed_spans(texts), "tid")
-    # a continuation byte at the end or start of a cut belongs to a character that stays
-    tail = lambda at: F.length(F.regexp_extract(F.hex(F.expr(f"substring(bytes, cast({at} + 1 as int), 3)")), "^((?:[89AB][0-9A-F])*)", 1)) / 2
-    found = (found.select("tid", "bytes", F.posexplode("spans").alias("ix", "s")).select("tid", "bytes", "ix", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-             .withColumn("start", F.col("start") + tail("start").cast("long"))
-             .withColumn("lead", F.reverse(F.regexp_extract(F.reverse(F.hex(F.expr("substring(bytes, cast(greatest(end - 3, 0) + 1 as int), cast(end - greatest(end - 3, 0) as int))"))), "^((?:[0-9A-F][89AB])*[0-9A-F][C-F])?", 0)))
-             .withColumn("after", tail("end").cast("long"))
-             .withColumn("end", F.when(F.col("after") > 0, F.col("end") - (F.length("lead") / 2).cast("long")).otherwise(F.col("end"))))
-    cut = (found.filter("start < end").groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
-    new = texts.join(cut, "tid").select("tid", _kept_bytes().alias("left_text"))
-    data = F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    rows = docs.select(F.struct("*").alias("whole_row"), data.alias("tid")).join(new, "tid", "left")
-    rows = rows.filter("left_text is null or left_text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    A repeated passage is a maximal run of bytes that lie in ``min_bytes``-byte
+    strings which occur elsewhere too, if it holds ``min_words`` words, words cut
+    by its ends included, or ``long_bytes`` bytes.  Cuts are drawn in to whole
+    characters, so a repeat that ends inside a character leaves that character.
+    Documents of which no word is left go, those without any repeat all stay as
+    they are, null texts included."""
+    spans = removed_spans(distinct_texts(docs), min_bytes, gram)
+    data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.select(F.struct("*").alias("whole_row"), data.alias("bytes"), F.unhex(F.md5(data)).alias("tid")).join(spans, "tid", "left")
+    words = lambda s: F.regexp_count(F.substring(F.col("bytes"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).cast("string"), F.lit(WORD))
+    passages = F.filter("spans", lambda s: F.when(s["end"] - s["start"] >= long_bytes, True).otherwise(words(s) >= min_words))
+    rows = rows.withColumn("spans", F.filter(_in_characters(passages, F.col("bytes")), lambda s: s["start"] < s["end"]))
+    rows = rows.withColumn("left_text", F.when(F.size("spans") > 0, _kept_bytes())).filter(F.col("left_text").isNull() | F.col("left_text").rlike(WORD))
     text = F.coalesce("left_text", F.col("whole_row.text"))
     put = {"text": text, "n_chars": F.when(F.col("left_text").isNull(), F.col("whole_row.n_chars")).otherwise(F.length("left_text"))} if "n_chars" in docs.columns else {"text": text}
     return rows.select(*[(put[c].cast(docs.schema[c].dataType) if c in put else F.col(f"whole_row.`{c}`")).alias(c) for c in docs.columns])

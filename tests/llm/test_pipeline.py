@@ -63,13 +63,17 @@ def keep_one_of_each(docs):
 
 def cut_repeats(docs):
     data = [d[1].encode() for d in docs]
-    seen = collections.Counter(b[p : p + 400] for b in data for p in range(len(b) - 399))
+    seen = collections.Counter(b[p : p + 240] for b in data for p in range(len(b) - 239))
     out = []
     for d, b in zip(docs, data):
         gone = bytearray(len(b))
-        for p in range(len(b) - 399):
-            if seen[b[p : p + 400]] > 1:
-                gone[p : p + 400] = b"\1" * 400
+        for p in range(len(b) - 239):
+            if seen[b[p : p + 240]] > 1:
+                gone[p : p + 240] = b"\1" * 240
+        for run in list(re.finditer(b"\1+", gone)):
+            some = b[run.start() : run.end()]
+            if len(some) < 400 and len(re.findall(rb"[^\x20\x09-\x0D]+", some)) < 51:
+                gone[run.start() : run.end()] = bytes(len(some))
         # a character of which any byte stays, stays
         left, at = [], 0
         for c in d[1]:
@@ -115,6 +119,9 @@ def test_pipeline_against_plain_python(spark, tmp_path):
 
     rows = hard_rows()
     extra = [(100 + i, passage(20 + i, 80) + (" " + passage(1, 90) if i % 3 == 0 else ""), ["en", "de", "fr", "es"][i % 4], "abcd"[i % 3]) for i in range(40)]
+    # passages of a little more and a little less than 51 words, and one of few long words
+    short = [" ".join(passage(70, 200).split()[:n]) for n in (52, 44)] + ["w" * 90 + " " + passage(71, 20) + " " + "é" * 130]
+    extra += [(200 + i, passage(80 + i, 70) + "\n" + short[i % 3] + "\n" + passage(90 + i, 70), "en", "e") for i in range(9)]
     rows += [(*r, len(r[1]), *["clash"] * 9) for r in extra]
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     docs, counts = [(r[0], r[1] or "", r[2], r[3]) for r in rows], [len(rows)]
@@ -122,6 +129,8 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         docs = stage(docs)
         counts.append(len(docs))
     assert counts[0] > counts[1] > counts[2] >= counts[3] == counts[4] > 30
+    left = {d[0]: d[1] for d in docs}
+    assert [short[i % 3] in left[200 + i] for i in range(9)] == [False, True, False] * 3
     plain = Tokenizer.from_file(path)
     want = pack_sequences(docs, lambda text: plain.encode(text, add_special_tokens=False).ids)
     got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
