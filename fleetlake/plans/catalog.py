@@ -17,7 +17,8 @@ from ..functions.keywords import MODEL_CATEGORIES
 from ..operators import clean, labels, lifecycle, logs, prompts, quality, query, sheets, stats
 from ..session import table
 from ..sources import views
-from ..sources.workbook import admitted
+from ..sources.books import books_view
+from ..sources.workbook import Limits, admitted, header_rows, read_cells
 from ..spec import FAULT_TABLE_REQUIRED, KARDEX, ColumnSpec, FormatSpec, register_format
 from . import kardex as K
 
@@ -426,7 +427,54 @@ def q_stack_sheets(spark, sf):
     return sheets.stack_sheets(frames)
 
 
+def _error_kind(c):
+    """The kind of error in a reason; its text may change with the library."""
+    return F.regexp_replace(c, r"^(unreadable workbook: )?(\w+): .*", "$1$2")
+
+
+def book_cells(spark, sf, limits=Limits()):
+    return read_cells(books_view(spark, sf), limits=limits)
+
+
+def q_workbook_cells(spark, sf):
+    c = book_cells(spark, sf)
+    return c.withColumn("value", F.when(F.col("cell_type") == "error", _error_kind(F.col("value"))).otherwise(F.col("value")))
+
+
+def q_workbook_headers(spark, sf):
+    return header_rows(books_view(spark, sf)).withColumn("reason", _error_kind(F.col("reason")))
+
+
+def q_workbook_limits(spark, sf):
+    """Two columns of the first six rows of the first sheet."""
+    c = book_cells(spark, sf, Limits(sheets=(0,), rows=(0, 6), columns=frozenset({0, 2})))
+    return sheets.real_cells(c)
+
+
+def q_workbook_formats(spark, sf):
+    return sheets.detect_format(book_cells(spark, sf)).withColumn("reason", _error_kind(F.col("reason")))
+
+
+def q_workbook_load_status(spark, sf):
+    return sheets.load_status(book_cells(spark, sf), ("WO No", "Open Date", "Urgent"), header_row=3).withColumn("message", _error_kind(F.col("message")))
+
+
+def q_workbook_fault_files(spark, sf):
+    return sheets.fault_file_flag(book_cells(spark, sf), ("WO No", "Open Date", "Urgent"), header_row=3)
+
+
+def q_workbook_sheet_counts(spark, sf):
+    return sheets.sheet_counts(book_cells(spark, sf), body_start=4)
+
+
 QUERIES: dict[str, Query] = {
+    "workbook_cells": q_workbook_cells,
+    "workbook_headers": q_workbook_headers,
+    "workbook_limits": q_workbook_limits,
+    "workbook_formats": q_workbook_formats,
+    "workbook_load_status": q_workbook_load_status,
+    "workbook_fault_files": q_workbook_fault_files,
+    "workbook_sheet_counts": q_workbook_sheet_counts,
     "fault_report": q_fault_report,
     "enriched_work_orders": q_enriched_work_orders,
     "quarantine": q_quarantine,

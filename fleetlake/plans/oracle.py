@@ -722,3 +722,55 @@ SELECT 'app.log' AS path,
        CASE WHEN event_type = 'error' THEN event_type || chr(10) || '  details ' || coalesce(props, '')
             ELSE event_type END AS message
 FROM ev""")
+
+
+# Workbooks of up to 1500 orders, one sheet per status.  Of eight books the
+# fourth is no zip file, the sixth has a broken second sheet, the seventh
+# another layout.
+BOOKS = """
+bo AS (
+  SELECT *, o_orderkey // 1500 AS b, 3 + row_number() OVER (PARTITION BY o_orderkey // 1500, o_orderstatus ORDER BY o_orderkey) AS r FROM orders
+),
+bs AS (
+  SELECT b, 'book_' || b || '.xlsx' AS path, ix, st, 'Status ' || st AS sheet_name, b % 8 = 5 AND ix = 1 AS broken
+  FROM (SELECT DISTINCT b FROM bo), (VALUES (0, 'F'), (1, 'O'), (2, 'P')) s(ix, st) WHERE b % 8 <> 3
+),
+heads AS (
+  SELECT * FROM (VALUES (0, 'WO No', 'Ticket'), (1, 'Open Date', 'Opened'), (2, 'Customer', 'Client'), (3, 'Job Description', 'Work'), (4, 'Urgent', 'Urgent')) h(c, usual, other)
+),
+bc AS (
+  SELECT path, ix, sheet_name, -1 AS r, -1 AS c, 'sheet' AS kind, NULL AS v FROM bs
+  UNION ALL SELECT path, ix, sheet_name, -1, -1, 'error', 'ParseError' FROM bs WHERE broken
+  UNION ALL SELECT DISTINCT 'book_' || b || '.xlsx', -1, NULL, -1, -1, 'error', 'BadZipFile' FROM bo WHERE b % 8 = 3
+  UNION ALL SELECT path, ix, sheet_name, 0, 0, 'str', 'Book ' || b FROM bs WHERE NOT broken
+  UNION ALL SELECT path, ix, sheet_name, 3, c, 'str', CASE WHEN b % 8 = 6 THEN other ELSE usual END FROM bs, heads WHERE NOT broken
+  UNION ALL
+  SELECT path, ix, sheet_name, r, c, CASE c WHEN 1 THEN 'date' WHEN 2 THEN CASE WHEN o_orderkey % 97 = 0 THEN 'cellerror' ELSE 'num' END WHEN 4 THEN 'bool' ELSE 'str' END,
+         CASE c WHEN 0 THEN 'WO-' || o_orderkey WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
+                WHEN 2 THEN CASE WHEN o_orderkey % 97 = 0 THEN '#N/A' ELSE (o_custkey // 4) || (['', '.25', '.5', '.75'])[o_custkey % 4 + 1] END
+                WHEN 3 THEN o_orderpriority ELSE CASE WHEN o_orderpriority = '1-URGENT' THEN 'True' ELSE 'False' END END
+  FROM bs JOIN bo USING (b), heads WHERE st = o_orderstatus AND NOT broken
+),
+cells AS (
+  SELECT path, CAST(ix AS INTEGER) AS sheet_ix, sheet_name, CAST(r AS BIGINT) AS row_ix, CAST(c AS INTEGER) AS col_ix, kind AS cell_type, v AS value FROM bc
+),
+books AS (
+  SELECT DISTINCT b, 'book_' || b || '.xlsx' AS path FROM bo
+)"""
+ORACLE["workbook_cells"] = w(BOOKS, "SELECT * FROM cells")
+ORACLE["workbook_limits"] = w(BOOKS, "SELECT * FROM cells WHERE sheet_ix = 0 AND row_ix BETWEEN 0 AND 5 AND col_ix IN (0, 2)")
+ORACLE["workbook_headers"] = w(BOOKS, """
+SELECT path, CAST(CASE WHEN b % 8 NOT IN (3, 6) THEN 0 END AS INTEGER) AS sheet_ix, CASE WHEN b % 8 NOT IN (3, 6) THEN 'Status F' END AS sheet_name,
+       CAST(CASE WHEN b % 8 NOT IN (3, 6) THEN 3 END AS BIGINT) AS header_row, CASE WHEN b % 8 = 3 THEN 'BadZipFile' END AS reason FROM books""")
+ORACLE["workbook_formats"] = w(BOOKS, """
+SELECT path, CASE WHEN b % 8 NOT IN (3, 6) THEN 'kardex' END AS format,
+       CASE b % 8 WHEN 3 THEN 'unreadable workbook: BadZipFile' WHEN 5 THEN 'unreadable workbook: ParseError' WHEN 6 THEN 'no registered format matches' END AS reason FROM books""")
+ORACLE["workbook_load_status"] = w(BOOKS, """
+SELECT path, b % 8 NOT IN (3, 5, 6) AS success,
+       CASE b % 8 WHEN 3 THEN 'unreadable workbook: BadZipFile' WHEN 5 THEN 'unreadable workbook: ParseError'
+                  WHEN 6 THEN 'columns absent: [''Open Date'', ''WO No'']' ELSE 'loaded' END AS message FROM books""")
+ORACLE["workbook_fault_files"] = w(BOOKS, "SELECT path, b % 8 NOT IN (3, 6) AS is_fault_data FROM books")
+ORACLE["workbook_sheet_counts"] = w(BOOKS, """
+SELECT path, sheet_ix, sheet_name, CASE WHEN NOT bool_or(cell_type = 'error') THEN nullif(count(DISTINCT row_ix) FILTER (row_ix >= 4), 0) END AS n,
+       CASE WHEN bool_or(cell_type = 'error') THEN 'error' WHEN count(*) FILTER (row_ix >= 4) = 0 THEN 'no_body' ELSE 'ok' END AS status
+FROM cells GROUP BY ALL""")

@@ -34,7 +34,7 @@ def text(value, at=""):
 
 
 def cells_of(content, path="b.xlsx"):
-    return [c for part in workbook.parse_workbook(path, content) for c in part]
+    return workbook.parse_workbook(path, content)
 
 
 def test_cells_without_a_place_follow_the_one_before():
