@@ -7,9 +7,17 @@ to the entry before them; lines before the first prefix get a NULL time.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir, ship_code
+
 # The record layout of a log line.
 TS_PATTERN = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}"
 LINE_PATTERN = r"^\[(" + TS_PATTERN + r")\] ?(.*)$"
@@ -123,6 +131,137 @@ def stitch_lines(lines: DataFrame) -> DataFrame:
         F.when(has, F.regexp_replace(F.col("text"), HEAD, "")).otherwise(F.col("text")).alias("message")))
 
 
+# ---------------------------------------------------------------------------
+# W1 line by line: an entry of any length is never one value
+# ---------------------------------------------------------------------------
+#: Position of a line's entry when it begins in an earlier split, or nowhere.
+ELSEWHERE = -1
+SPLIT = ["log", "file", "split_start"]
+#: What is known of the open entry of each log: where it begins, its time as text and its lines so far.
+OPEN_SCHEMA = "log string, entry_file string, entry_split long, entry_at long, ts string, lines long, seen timestamp"
+
+
+def file_lines(text: DataFrame) -> DataFrame:
+    """``log, file, split_start, seen, id, ts, line`` from a text scan, batch or
+    stream: ``id`` goes up by one inside a split, ``ts`` is the text of a
+    prefix, NULL for other lines, and ``seen`` the file's time.
+
+    The files of one log lie in one folder, in the order of their names."""
+    path = F.col("_metadata.file_path")
+    ts = F.when(F.col("value").rlike(HEAD), F.regexp_extract("value", HEAD, 1))
+    return text.select(F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("log"), F.substring_index(path, "/", -1).alias("file"), F.col("_metadata.file_block_start").alias("split_start"),
+                       F.col("_metadata.file_modification_time").alias("seen"), F.monotonically_increasing_id().alias("id"), ts.alias("ts"), F.col("value").alias("line"))
+
+
+def split_heads(lines: DataFrame) -> DataFrame:
+    """One row per split: its ``n`` lines, and position and time of its last
+    prefixed line."""
+    last = F.max(F.when(F.col("ts").isNotNull(), F.struct("id", "ts")))
+    return (lines.groupBy(*SPLIT).agg(F.count("*").alias("n"), F.min("id").alias("_first"), last.alias("_last"), F.max("seen").alias("seen"))
+            .select(*SPLIT, "n", (F.col("_last.id") - F.col("_first")).alias("at"), F.col("_last.ts").alias("ts"), "seen"))
+
+
+def _with_entries(heads: DataFrame, before: DataFrame | None) -> DataFrame:
+    """``heads`` with ``_own``, the entry that is open behind each split, and
+    ``_end``, the lines of the log up to there.  Open entries from ``before``
+    are splits of their own in front of all others."""
+    place = F.struct(F.col("file").alias("file"), F.col("split_start").alias("split"), F.col("at").alias("at"))
+    rows = heads.withColumn("_place", F.when(F.col("at").isNotNull(), place))
+    if before is not None:
+        rows = rows.unionByName(before.select(
+            "log", F.lit("").alias("file"), F.lit(-1).cast("long").alias("split_start"), F.col("lines").alias("n"), F.lit(0).cast("long").alias("at"), "ts", "seen",
+            F.struct(F.col("entry_file").alias("file"), F.col("entry_split").alias("split"), F.col("entry_at").alias("at")).alias("_place")))
+    w = Window.partitionBy("log").orderBy("file", "split_start")
+    rows = rows.withColumn("_end", F.sum("n").over(w))
+    return rows.withColumn("_own", F.when(F.col("_place").isNotNull(), F.struct(F.col("_place").alias("place"), F.col("ts").alias("ts"), (F.col("_end") - F.col("n") + F.col("at")).alias("number"))))
+
+
+def carried(heads: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``SPLIT, in_file, in_split, in_at, in_ts, in_lines``: for each split, place
+    and time of the entry that is open at its beginning, and how many lines that
+    has by then.  ``before`` holds entries left open earlier (``OPEN_SCHEMA``).
+    A window over one row per split of a log."""
+    rows = _with_entries(heads, before)
+    w = Window.partitionBy("log").orderBy("file", "split_start").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.last("_own", ignorenulls=True).over(w)).where(F.col("split_start") >= 0)
+    return rows.select(*SPLIT, F.col("_in.place.file").alias("in_file"), F.col("_in.place.split").alias("in_split"), F.col("_in.place.at").alias("in_at"), F.col("_in.ts").alias("in_ts"),
+                       (F.col("_end") - F.col("n") - F.col("_in.number")).alias("in_lines"))
+
+
+def open_entries(heads: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The entry of each log that is open behind all splits (``OPEN_SCHEMA``);
+    logs without any prefixed line have none."""
+    rows = _with_entries(heads, before)
+    last = rows.groupBy("log").agg(F.max(F.struct(F.col("_own").isNotNull().alias("has"), "file", "split_start", "_own")).alias("m"), F.max("_end").alias("end"), F.max("seen").alias("seen"))
+    own = F.col("m._own")
+    return last.where(F.col("m.has")).select("log", own["place"]["file"].alias("entry_file"), own["place"]["split"].alias("entry_split"), own["place"]["at"].alias("entry_at"),
+                                             own["ts"].alias("ts"), (F.col("end") - own["number"]).alias("lines"), "seen")
+
+
+def _positions(lines: DataFrame) -> DataFrame:
+    """``SPLIT, at, own, ts, line``: each line's position in its split, and
+    position and time of the last prefixed line up to it in the split.
+
+    A split is read by one task from its beginning, so nothing is shuffled or
+    sorted, and what is carried from batch to batch is one position."""
+    ship_code()
+    schema = "log string, file string, split_start long, at long, own long, ts string, line string"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, own, own_ts = None, 0, ELSEWHERE, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ids, ts = batch["id"].to_numpy(), batch["ts"]
+            head, parts = ts.is_valid().to_numpy(zero_copy_only=False), [batch[c] for c in SPLIT]
+            new = np.zeros(n, dtype=bool)
+            for c in parts:
+                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = key != tuple(c[0].as_py() for c in parts)
+            begin = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            at = ids - np.where(begin >= 0, ids[begin], first)
+            # the last line that begins a split or an entry: none yet, then what was held goes on
+            last = np.maximum.accumulate(np.where(new | head, np.arange(n), -1))
+            owns = np.where(last < 0, own, np.where(head[last], at[last], ELSEWHERE))
+            times = pa.concat_arrays([ts, pa.array([own_ts], pa.string())]).take(pa.array(np.where(last < 0, n, last)))
+            key, first, own, own_ts = tuple(c[-1].as_py() for c in parts), int(ids[-1] - at[-1]), int(owns[-1]), times[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*parts, pa.array(at), pa.array(owns), times, batch["line"]], names)
+
+    return lines.select(*SPLIT, "id", "ts", "line").mapInArrow(run, schema)
+
+
+def entry_lines(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """``log, entry_file, entry_split, entry_at, line_no, ts, line`` for each of
+    ``file_lines``, given ``carried`` splits: where its entry begins, its number
+    in the entry and the entry's time.
+
+    A prefixed line has number 0 and stands without its prefix.  Lines before
+    any prefix of a log are entries of their own, with a NULL time.  No entry is
+    gathered: lines stay where they are read and meet one row per split."""
+    rows = _positions(lines).join(splits, SPLIT)
+    here, before = F.col("own") != ELSEWHERE, F.col("in_at").isNotNull()
+    pick = lambda own, earlier, alone: F.when(here, own).when(before, earlier).otherwise(alone)
+    return rows.select(
+        "log", pick(F.col("file"), F.col("in_file"), F.col("file")).alias("entry_file"), pick(F.col("split_start"), F.col("in_split"), F.col("split_start")).alias("entry_split"),
+        pick(F.col("own"), F.col("in_at"), F.col("at")).alias("entry_at"), pick(F.col("at") - F.col("own"), F.col("in_lines") + F.col("at"), F.lit(0).cast("long")).alias("line_no"),
+        F.try_to_timestamp(F.coalesce("ts", "in_ts"), F.lit(TS_FORMAT)).alias("ts"),
+        F.when(here & (F.col("at") == F.col("own")), F.regexp_replace("line", HEAD, "")).otherwise(F.col("line")).alias("line"))
+
+
+def read_entry_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """W1 on files of any size: the lines of all logs under ``folder`` with
+    their entries (see ``entry_lines``).  The text is scanned twice, first for
+    one row per split.  These rows are written, so that Spark knows their size:
+    it broadcasts them while they are few and sorts both sides beyond that."""
+    lines = file_lines(spark.read.text(folder, recursiveFileLookup=True))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlake-splits-{uuid.uuid4().hex}"
+    splits = carried(split_heads(lines))
+    splits.write.parquet(path)
+    return entry_lines(lines, spark.read.schema(splits.schema).parquet(path))
+
+
 def latest_logs(logs: DataFrame, n: int = INITIAL_PAGE, id_col: str = "log_id") -> DataFrame:
     """O3: the newest ``n`` entries, returned in ascending id (a top-k)."""
     return logs.orderBy(F.desc(id_col)).limit(n).orderBy(id_col)

@@ -7,6 +7,7 @@ hand-written SQL in ``oracle.py``.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_datetime
 from ..functions.keywords import MODEL_CATEGORIES
 from ..operators import clean, labels, lifecycle, logs, prompts, quality, query, sheets, stats
-from ..session import table
+from ..session import ensure_checkpoint_dir, table
 from ..sources import views
 from ..sources.books import books_view
 from ..sources.workbook import Limits, admitted, header_rows, read_cells
 from ..spec import FAULT_TABLE_REQUIRED, KARDEX, ColumnSpec, FormatSpec, register_format
+from ..streaming import ingest
 from . import kardex as K
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -329,6 +331,40 @@ def q_log_stitch(spark, sf):
                       F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"), "message")
 
 
+LOG_FILES = 64
+
+
+def log_files(spark, sf, cut_entries: bool) -> str:
+    """A folder with log files made from events: three logs, errors with up to
+    four lines.  With ``cut_entries`` a file may end inside an entry."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "event_type", F.coalesce("props", F.lit("")).alias("props"))
+    last = F.when(F.col("event_type") == "error", F.col("event_id") % 4).otherwise(0).cast("int")
+    head = logs.format_line(F.col("ts"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")))
+    rows = (ev.withColumn("line_no", F.explode(F.sequence(F.lit(0), last)))
+            .select("event_id", "line_no", (F.col("event_id") % 3).alias("log"), F.when(F.col("line_no") == 0, head).otherwise(F.concat(F.lit("  details "), "props")).alias("value")))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlake-logs-{uuid.uuid4().hex}"
+    order = ["event_id", "line_no"]
+    (rows.repartitionByRange(LOG_FILES, *(order if cut_entries else order[:1])).sortWithinPartitions(*order)
+     .select("log", "value").write.partitionBy("log").text(folder))
+    return folder
+
+
+def _log_rows(lines):
+    return lines.select(F.regexp_extract("log", "log=(\\d+)", 1).cast("int").alias("log"), F.date_format("ts", logs.TS_FORMAT).alias("ts"), "line_no", "line")
+
+
+def q_log_entry_lines(spark, sf):
+    """W1/S15 on real files: entries go on from split to split."""
+    return _log_rows(logs.read_entry_lines(spark, log_files(spark, sf, True)))
+
+
+def q_log_stream_lines(spark, sf):
+    """The same by a stream of some files a batch, read as published."""
+    folder = log_files(spark, sf, False)
+    ingest.entry_stream(spark, folder, f"{folder}-out", f"{folder}-checkpoint", max_files=100).awaitTermination()
+    return _log_rows(ingest.read_output(spark, f"{folder}-out", "lines"))
+
+
 def q_render_prompt(spark, sf):
     g = good(spark, sf)
     return g.select("row_ix", prompts.render_named(
@@ -522,6 +558,8 @@ QUERIES: dict[str, Query] = {
     "logs_after": q_logs_after,
     "log_parse": q_log_parse,
     "log_stitch": q_log_stitch,
+    "log_entry_lines": q_log_entry_lines,
+    "log_stream_lines": q_log_stream_lines,
     "render_prompt": q_render_prompt,
     "history_prompt": q_history_prompt,
     "render_report": q_render_report,

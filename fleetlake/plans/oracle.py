@@ -774,3 +774,10 @@ ORACLE["workbook_sheet_counts"] = w(BOOKS, """
 SELECT path, sheet_ix, sheet_name, CASE WHEN NOT bool_or(cell_type = 'error') THEN nullif(count(DISTINCT row_ix) FILTER (row_ix >= 4), 0) END AS n,
        CASE WHEN bool_or(cell_type = 'error') THEN 'error' WHEN count(*) FILTER (row_ix >= 4) = 0 THEN 'no_body' ELSE 'ok' END AS status
 FROM cells GROUP BY ALL""")
+
+LOG_LINES = """
+SELECT CAST(event_id % 3 AS INTEGER) AS log, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts, CAST(n AS BIGINT) AS line_no,
+       CASE WHEN n = 0 THEN event_type || ' ' || event_id ELSE '  details ' || coalesce(props, '') END AS line
+FROM events, generate_series(0, 3) g(n) WHERE n <= CASE WHEN event_type = 'error' THEN event_id % 4 ELSE 0 END"""
+ORACLE["log_entry_lines"] = LOG_LINES
+ORACLE["log_stream_lines"] = LOG_LINES

@@ -1,15 +1,19 @@
 """Incremental ingest with Structured Streaming.
 
 Workbooks: a ``binaryFile`` file stream; each micro-batch is parsed to cells,
-read under the spec's header row and run through the configured pipeline;
-good and rejected rows are appended under the output folder.  The file
-source's checkpoint records which files were seen, so a restart (or a lost
-executor) never processes a file twice, and each batch writes to its own
-``batch=<id>`` folder with overwrite, so a re-run batch replaces its own
-output instead of duplicating it.
-
-Logs: a text file stream read whole per file, split into entries (continuation
-lines stay with their entry) and appended as parquet.
+read under the spec's header row and run through the configured pipeline.  Good
+rows, rejected rows and sheet counts are written to ``batch=<id>`` folders and
+published together (``published``), so readers never see part of a batch.
+
+Logs: a text file stream.  An entry may go on in the next file of its log, and
+that file may come in a later micro-batch.  The stream's state is one row per
+log, the entry that is open behind all files so far; it is written with each
+batch and read by the next.  Lines are never gathered: they meet the state as
+the rows of the batch reader meet the splits before them.
+
+The file source's checkpoint records which files were seen, so a restart never
+processes a file twice, and a batch that was cut off is written again over its
+own folders.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from ..operators import sheets
 from ..plans import kardex as K
 from ..sources.workbook import is_excel, read_cells
 from ..spec import KARDEX, FormatSpec
+from .published import batch_path, publish, published, read_published
 
 POSITION = ("path", "sheet_name", "row_ix")
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -35,10 +40,10 @@ def process_workbook_batch(files: DataFrame, out: str, batch_id: int, spec: Form
     try:
         rows = sheets.sheet_pivot(cells, spec, sheets=spec.sheets or None)
         good, rejected = K.quarantine(rows, spec, keep=POSITION)
-        good.write.mode("overwrite").parquet(f"{out}/good/batch={batch_id}")
-        rejected.select(*POSITION, "work_order", "reason").write.mode("overwrite").parquet(
-            f"{out}/rejected/batch={batch_id}")
-        sheets.sheet_counts(cells).write.mode("overwrite").parquet(f"{out}/sheet_counts/batch={batch_id}")
+        good.write.mode("overwrite").parquet(batch_path(out, "good", batch_id))
+        rejected.select(*POSITION, "work_order", "reason").write.mode("overwrite").parquet(batch_path(out, "rejected", batch_id))
+        sheets.sheet_counts(cells).write.mode("overwrite").parquet(batch_path(out, "sheet_counts", batch_id))
+        publish(files.sparkSession, out, batch_id, ["good", "rejected", "sheet_counts"])
     finally:
         cells.unpersist()
 
@@ -57,8 +62,47 @@ def workbook_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
     return writer.start()
 
 
+def process_log_batch(text: DataFrame, out: str, batch_id: int, forget_after: str | None = None) -> None:
+    """One micro-batch of log lines -> ``lines`` with their entries, and ``open``,
+    the entry that each log is in.  The state is that of the last batch before
+    this one that was published."""
+    spark = text.sparkSession
+    earlier = [i for i in published(spark, out) if i < batch_id]
+    before = spark.read.schema(L.OPEN_SCHEMA).parquet(batch_path(out, "open", earlier[-1])) if earlier else spark.createDataFrame([], L.OPEN_SCHEMA)
+    lines = L.file_lines(text)
+    heads = L.split_heads(lines)
+    if forget_after is not None:  # by the files' times, so that a repeated batch decides alike
+        now = heads.agg(F.max("seen")).first()[0]
+        before = before.where(F.lit(now).isNull() | (F.col("seen") >= F.lit(now) - F.expr(f"interval {forget_after}")))
+    splits = L.carried(heads, before)  # written, so that its size is known to the join
+    splits.write.mode("overwrite").parquet(batch_path(out, "splits", batch_id))
+    splits = spark.read.schema(splits.schema).parquet(batch_path(out, "splits", batch_id))
+    L.entry_lines(lines, splits).write.mode("overwrite").parquet(batch_path(out, "lines", batch_id))
+    L.open_entries(heads, before).write.mode("overwrite").parquet(batch_path(out, "open", batch_id))
+    publish(spark, out, batch_id, ["lines", "open"])
+
+
+def entry_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, available_now: bool = True, max_files: int | None = None, forget_after: str | None = None):
+    """Start the log ingest line by line; returns the query.  ``read_output(spark, out,
+    "lines")`` gives every line with its entry, as the batch reader
+    ``read_entry_lines`` does.
+
+    Files of a log are taken as they come and must sort in that order.  A log
+    that got no file for ``forget_after`` (such as '2 days', by the files' times)
+    is forgotten: lines that come without a prefix then are entries of their own."""
+    reader = spark.readStream.option("recursiveFileLookup", "true")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    writer = (reader.text(folder).select("value", "_metadata").writeStream
+              .foreachBatch(lambda df, bid: process_log_batch(df, out, bid, forget_after))
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
 def log_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, available_now: bool = True):
-    """Start the log ingest (entries appended as parquet); returns the query."""
+    """Start the ingest of small rotated log files, each read as one string and
+    complete in itself (entries appended as parquet); returns the query."""
     files = spark.readStream.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
     entries = L.parse_text(files)
     writer = (entries.writeStream.format("parquet")
@@ -69,6 +113,6 @@ def log_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, avai
     return writer.start()
 
 
-def read_output(spark: SparkSession, out: str, part: str = "good") -> DataFrame:
-    """Everything a workbook stream has written so far (all batches)."""
-    return spark.read.parquet(f"{out}/{part}")
+def read_output(spark: SparkSession, out: str, part: str = "good", schema: str | None = None) -> DataFrame:
+    """Everything that a stream has published so far (all finished batches)."""
+    return read_published(spark, out, part, schema)
