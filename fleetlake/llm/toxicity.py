@@ -59,9 +59,20 @@ class Link:
                 .drop("rawPrediction", "probability", "prediction", "features", "telling"))
 
 
+@dataclass
+class Constant:
+    """What stands for a model where there is nothing to fit it on."""
+
+    category: str
+    share: float
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn(f"p_{self.category}", F.lit(self.share))
+
+
 @dataclass
 class Chain:
-    links: list[Link]
+    links: list[Link | Constant]
     vocabulary: CountVectorizerModel
 
 
@@ -70,14 +81,19 @@ def fit_chain(labelled: DataFrame, categories: list[str], vocabulary_size: int =
     label are left out.  Of more than ``max_rows`` rows those with the least
     hash of the text are taken, and of the words that ``least_rows`` of them
     have, the ``vocabulary_size`` most frequent; each model
-    sees the ``telling_words`` of these that tell most about its category."""
+    sees the ``telling_words`` of these that tell most about its category.
+
+    Without such a word, or without a row to fit on, a model is the share of its
+    category among the rows, 0 without any."""
     rows = labelled.dropna(subset=categories).select("text", *[F.col(c).cast("double").alias(c) for c in categories])
     some = rows.withColumn("order", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy("order", "text", *categories).limit(max_rows)
     some = written(some.select(*categories, F.pmod(F.xxhash64("order"), F.lit(folds)).alias("fold"), words(F.col("text")).alias("words")).repartition(6), "labelled")
     vocabulary = CountVectorizer(binary=True, vocabSize=vocabulary_size, minDF=least_rows, inputCol="words", outputCol="present").fit(some)
     train, links = vocabulary.transform(some).drop("words"), []
 
-    def fit(data: DataFrame, i: int) -> Link:
+    def fit(data: DataFrame, i: int) -> Link | Constant:
+        if not vocabulary.vocabulary or data.isEmpty():
+            return Constant(categories[i], train.agg(F.coalesce(F.avg(categories[i]), F.lit(0.0))).first()[0])
         data = data.cache()
         c, link = categories[i], Link(categories[i], categories[:i], _telling(data, categories[i], telling_words), None)
         link.model = LogisticRegression(featuresCol="features", labelCol=c, maxIter=iterations, regParam=regularization, standardization=False, family="binomial").fit(link.features(data))
@@ -108,7 +124,9 @@ def score(docs: DataFrame, chain: Chain, keep: Column) -> DataFrame:
 def toxicity_query(docs: DataFrame, labels: DataFrame, threshold: float = 0.25) -> DataFrame:
     """(doc_id, p_low_quality, p_toxic, toxic) for all documents, by a chain of
     low quality and toxicity fitted on the labelled ones.  A doc_id with
-    several labels has the worst of them."""
+    several labels has the worst of them, and one with a null label none.  Any
+    number of labelled rows will do, none too (see ``fit_chain``); an empty
+    table of documents gives no row."""
     known = labels.groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("low_quality"), F.max("toxic").alias("toxic")).dropna()
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     # MAX_LABELLED rows of three numbers at most
