@@ -40,6 +40,8 @@ wo AS (
               WHEN o.o_orderkey % 109 = 0 THEN '13/02/2024'
               WHEN o.o_orderkey % 113 = 0 THEN ' Jan 5, 2024 '
               WHEN o.o_orderkey % 127 = 0 THEN '1/2/2024 5:06'
+              WHEN o.o_orderkey % 131 = 0 THEN (['2024-01', '2024/01/05', '2024-1-5', '5 Jan 2024', 'January 5, 2024', '2024-01-01T09:00:00Z', '2024-01-01 09:00:00.1234567',
+                '1/2/2024 5:06 PM', '01-02-2024', '2024-13-05', '1/2/2024 13:06 PM', 'Fri, 5th Jan. 2024 17:30:05 +08:00'])[o.o_orderkey // 131 % 12 + 1]
               ELSE strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S') END AS open_date,
          CASE WHEN o.o_orderstatus <> 'O' THEN strftime(li.ship, '%Y-%m-%d %H:%M:%S') END AS done_date,
          CASE WHEN o.o_orderstatus = 'F' THEN strftime(li.ship, '%Y-%m-%d %H:%M:%S') END AS actual_finish_date,
@@ -94,17 +96,27 @@ prep AS (
 
 def parse_ts(x: str) -> str:
     s = strip(x)
-    iso = r"\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?"
-    us = r"\d{1,2}/\d{1,2}/\d{4}"
+    # blanks, time, fraction and half of the day; the zone goes
+    t = rf"regexp_replace({s}, '(T| +)(\d{{1,2}}:\d{{2}}(:\d{{2}})?)((\.\d{{1,6}})\d*)? ?(am|pm)? ?(z|utc|gmt|[-+]\d{{2}}:?\d{{2}})?$', ' \2\5\6', 'i')"
+    joined = r"(-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)"
+    day, year, weekday = r"(\d{1,2})(?:st|nd|rd|th)?", r",?[ -]+(\d{4})", r"^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +)?"
+
+    def read(text: str, *dates: str) -> str:
+        clocks = [" %H:%M", " %H:%M:%S", " %H:%M:%S.%f"]
+        halves = [" %I:%M%p", " %I:%M:%S%p", " %I:%M:%S.%f%p"]
+        one = lambda ends: "coalesce(" + ", ".join(f"try_strptime({text}, '{d}{e}')" for d in dates for e in ends) + ")"
+        return f"CASE WHEN regexp_matches({text}, '[ap]m$', 'i') THEN {one(halves)} ELSE {one(['', *clocks])} END"
+
+    numbers = rf"regexp_replace({t}, '^(\d+)[-/.](\d+)[-/.](\d+)', '\1-\2-\3')"
+    named = rf"regexp_replace({t}, '{weekday}([a-z]+)\.?[ -]{day}{year}', '\1-\2-\3', 'i')"
+    dayed = rf"regexp_replace({t}, '{weekday}{day}[ -]([a-z]+)\.?{year}', '\1-\2-\3', 'i')"
     return f"""CASE
-      WHEN regexp_full_match({s}, '{iso}') THEN TRY_CAST({s} AS TIMESTAMP)
-      WHEN regexp_full_match({s}, '{us}') THEN coalesce(try_strptime({s}, '%m/%d/%Y'), try_strptime({s}, '%d/%m/%Y'))
-      WHEN regexp_full_match({s}, '{us} \\d{{1,2}}:\\d{{2}}')
-        THEN coalesce(try_strptime({s}, '%m/%d/%Y %H:%M'), try_strptime({s}, '%d/%m/%Y %H:%M'))
-      WHEN regexp_full_match({s}, '{us} \\d{{1,2}}:\\d{{2}}:\\d{{2}}')
-        THEN coalesce(try_strptime({s}, '%m/%d/%Y %H:%M:%S'), try_strptime({s}, '%d/%m/%Y %H:%M:%S'))
-      WHEN regexp_full_match({s}, '\\d{{8}}') THEN try_strptime({s}, '%Y%m%d')
-      WHEN regexp_full_match({s}, '[A-Za-z]{{3}} \\d{{1,2}}, \\d{{4}}') THEN try_strptime({s}, '%b %d, %Y') END"""
+      WHEN regexp_matches({t}, '^\\d{{4}}{joined}\\d{{1,2}}( |$)') THEN {read(numbers, '%Y-%m-%d')}
+      WHEN regexp_matches({t}, '^\\d{{1,2}}{joined}\\d{{4}}( |$)') THEN {read(numbers, '%m-%d-%Y', '%d-%m-%Y')}
+      WHEN regexp_matches({t}, '^\\d{{8}}( |$)') THEN {read(t, '%Y%m%d')}
+      WHEN regexp_matches({t}, '{weekday}[a-z]{{3,9}}\\.?[ -]{day}{year}( |$)', 'i') THEN {read(named, '%b-%d-%Y', '%B-%d-%Y')}
+      WHEN regexp_matches({t}, '{weekday}{day}[ -][a-z]{{3,9}}\\.?{year}( |$)', 'i') THEN {read(dayed, '%d-%b-%Y', '%d-%B-%Y')}
+      WHEN regexp_full_match({t}, '\\d{{4}}[-/.]\\d{{1,2}}') THEN try_strptime(translate({t}, '/.', '--'), '%Y-%m') END"""
 
 
 CLEAN = PREP + f""",

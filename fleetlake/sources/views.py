@@ -41,6 +41,8 @@ DESCRIPTIONS = [
     "",
     None,
 ]
+DATE_SHAPES = ["2024-01", "2024/01/05", "2024-1-5", "5 Jan 2024", "January 5, 2024", "2024-01-01T09:00:00Z", "2024-01-01 09:00:00.1234567",
+               "1/2/2024 5:06 PM", "01-02-2024", "2024-13-05", "1/2/2024 13:06 PM", "Fri, 5th Jan. 2024 17:30:05 +08:00"]
 COMPLAINTS = ["Engine hunts at idle", "Brake squeal", "Flat tyre", "Aircon not cold", "Body dent",
               "Horn silent", "Wiper streaks", None]
 CATS = ["REPAIR", "SERVICE", "TYREBD", "PDI", None]
@@ -105,6 +107,7 @@ def work_order_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 109 == 0, F.lit("13/02/2024"))
         .when(k % 113 == 0, F.lit(" Jan 5, 2024 "))
         .when(k % 127 == 0, F.lit("1/2/2024 5:06"))
+        .when(k % 131 == 0, _pick(DATE_SHAPES, F.floor(k / 131) % len(DATE_SHAPES)))
         .otherwise(F.date_format("o_orderdate", TS_TEXT)).alias("open_date"),
         F.when(F.col("o_orderstatus") != "O", ship_text).alias("done_date"),
         F.when(F.col("o_orderstatus") == "F", ship_text).alias("actual_finish_date"),
