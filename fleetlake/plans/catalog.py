@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_datetime
 from ..functions.keywords import MODEL_CATEGORIES
-from ..operators import clean, labels, lifecycle, logs, prompts, quality, query, sheets, stats
+from ..operators import clean, fault_log, labels, lifecycle, logs, prompts, quality, query, sheets, stat_states, stats
 from ..session import ensure_checkpoint_dir, table
 from ..sources import views
 from ..sources.books import books_view
@@ -285,6 +285,40 @@ def q_close_faults_unknown(spark, sf):
     return unknown
 
 
+def _stored_folder(spark, label):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlake-{label}-{uuid.uuid4().hex}"
+
+
+def _stored_log(spark, sf):
+    """Two batches of faults, closed between them and after a compaction."""
+    folder, events = _stored_folder(spark, "fault-log"), views.fault_log_view(spark, sf).withColumn("n", F.expr("cast(substring(fault_id, 2) as bigint)"))
+    requests = _close_requests(spark, sf)
+    fault_log.append(events.where("n % 2 = 1"), folder, ["n"])
+    unknown = fault_log.close(requests, folder)
+    fault_log.append(events.where("n % 2 = 0").drop("status"), folder, ["n"])
+    fault_log.compact(spark, folder)
+    fault_log.close(requests.where("cast(substring(fault_id, 2) as bigint) % 3 = 0"), folder)
+    return folder, unknown
+
+
+def q_fault_log_merge(spark, sf):
+    log = fault_log.read(spark, _stored_log(spark, sf)[0])
+    return log.select("fault_id", "vehicle_id", "fault_description", "severity", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"), "status")
+
+
+def q_fault_log_unknown(spark, sf):
+    return _stored_log(spark, sf)[1]
+
+
+def q_statistics_record(spark, sf):
+    """A7 from states: each sheet a file, three batches, one file twice."""
+    folder, rows, first = _stored_folder(spark, "statistics"), good(spark, sf), F.col("sheet_name") < "C"
+    dims = {**stat_states.DIMENSIONS, "fault_categories": "fault_category"}
+    for some in (rows.where(first), rows.where(~first & (F.col("row_ix") % 2 == 0)), rows.where(~first)):
+        stat_states.store(some, folder, "sheet_name", dims)
+    return stat_states.record(spark, folder)
+
+
 def _app_log(spark, sf):
     return views.app_log_view(spark, sf)
 
@@ -553,6 +587,9 @@ QUERIES: dict[str, Query] = {
     "append_faults": q_append_faults,
     "close_faults": q_close_faults,
     "close_faults_unknown": q_close_faults_unknown,
+    "fault_log_merge": q_fault_log_merge,
+    "fault_log_unknown": q_fault_log_unknown,
+    "statistics_record": q_statistics_record,
     "latest_logs": q_latest_logs,
     "log_retention": q_log_retention,
     "logs_after": q_logs_after,

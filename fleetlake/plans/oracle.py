@@ -793,3 +793,30 @@ SELECT CAST(event_id % 3 AS INTEGER) AS log, strftime(ts, '%Y-%m-%d %H:%M:%S.%g'
 FROM events, generate_series(0, 3) g(n) WHERE n <= CASE WHEN event_type = 'error' THEN event_id % 4 ELSE 0 END"""
 ORACLE["log_entry_lines"] = LOG_LINES
 ORACLE["log_stream_lines"] = LOG_LINES
+
+# Odd ids are given first and even ones go on from there.
+STORED_LOG = CLOSE + """,
+stored AS (
+  SELECT *, CAST(substring(fault_id, 2) AS BIGINT) AS n, row_number() OVER (ORDER BY CAST(substring(fault_id, 2) AS BIGINT) % 2 = 0, CAST(substring(fault_id, 2) AS BIGINT)) AS number FROM fault_log
+),
+asked AS (
+  SELECT fault_id, CAST(substring(fault_id, 2) AS BIGINT) AS number FROM req
+),
+firsts AS (
+  SELECT count(*) AS high FROM stored WHERE n % 2 = 1
+)"""
+ORACLE["fault_log_merge"] = w(STORED_LOG, """
+SELECT printf('F%03d', number) AS fault_id, vehicle_id, fault_description, severity, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS ts,
+       CASE WHEN number IN (SELECT number FROM asked, firsts WHERE number <= high OR number % 3 = 0) THEN 'closed' ELSE 'open' END AS status
+FROM stored""")
+ORACLE["fault_log_unknown"] = w(STORED_LOG, """
+SELECT fault_id, 'no fault has the id ' || fault_id AS error FROM asked, firsts WHERE number > high""")
+ORACLE["statistics_record"] = w(GOOD, """
+SELECT unnest(['total_records', 'active_faults', 'high_severity_faults', 'unique_locations', 'avg_mileage', 'total_intercost', 'total_custcost']) AS measure, CAST(NULL AS VARCHAR) AS value,
+       unnest(list_transform([count(*)::VARCHAR, (count(*) FILTER (completion_date IS NULL))::VARCHAR, (count(*) FILTER (severity = 'high'))::VARCHAR, count(DISTINCT location)::VARCHAR,
+                              CAST(round(avg(TRY_CAST(mileage AS DOUBLE)), 4) AS DECIMAL(20,4))::VARCHAR,
+                              coalesce(sum(TRY_CAST(interco_amount AS DECIMAL(38,2))), 0)::VARCHAR, coalesce(sum(TRY_CAST(cost AS DECIMAL(38,2))), 0)::VARCHAR],
+                             lambda x: CAST(x AS DECIMAL(38,4)))) AS amount FROM good
+UNION ALL SELECT 'categories', category, CAST(count(*) AS DECIMAL(38,4)) FROM good WHERE category IS NOT NULL GROUP BY category
+UNION ALL SELECT 'complaints_by_type', nature_of_complaint, CAST(count(*) AS DECIMAL(38,4)) FROM good WHERE nature_of_complaint IS NOT NULL GROUP BY nature_of_complaint
+UNION ALL SELECT 'fault_categories', fault_category, CAST(count(*) AS DECIMAL(38,4)) FROM good WHERE fault_category IS NOT NULL GROUP BY fault_category""")

@@ -26,19 +26,22 @@ def batch_path(out: str, part: str, batch_id: int) -> str:
     return f"{out}/{part}/batch={batch_id}"
 
 
-def publish(spark: SparkSession, out: str, batch_id: int, parts: list[str]) -> None:
-    """Make the outputs ``parts`` of a batch visible; again for the same batch
-    changes nothing."""
+def publish(spark: SparkSession, out: str, batch_id: int, parts: list[str], once: bool = False, **facts) -> None:
+    """Make the outputs ``parts`` of a batch visible, with ``facts`` about it.
+    Again for the same batch changes nothing; with ``once`` it is an error, as
+    then another writer has taken the number."""
     final, fs = _files(spark, f"{out}/{FOLDER}/{batch_id}")
     if fs.exists(final):
+        if once:
+            raise FileExistsError(f"batch {batch_id} of {out} is published already")
         return
     made, _ = _files(spark, f"{out}/{FOLDER}/.{batch_id}-{uuid.uuid4().hex}")
     stream = fs.create(made, True)
-    stream.write(bytearray(json.dumps({"batch": batch_id, "parts": parts}).encode()))
+    stream.write(bytearray(json.dumps({"batch": batch_id, "parts": parts, **facts}).encode()))
     stream.close()
     if not fs.rename(made, final):
         fs.delete(made, False)
-        if not fs.exists(final):
+        if once or not fs.exists(final):
             raise OSError(f"cannot publish batch {batch_id} of {out}")
 
 
@@ -50,6 +53,16 @@ def published(spark: SparkSession, out: str) -> list[int]:
     return sorted(int(f.getPath().getName()) for f in fs.listStatus(folder) if not f.getPath().getName().startswith("."))
 
 
+def facts_of(spark: SparkSession, out: str, batch_id: int) -> dict:
+    """What ``publish`` was told about a batch."""
+    at, fs = _files(spark, f"{out}/{FOLDER}/{batch_id}")
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+
+
 def read_published(spark: SparkSession, out: str, part: str, schema: str | None = None) -> DataFrame:
     """The output ``part`` of all finished batches, with the column ``batch``.
     Without one, no rows if the ``schema`` is given, else an error."""
