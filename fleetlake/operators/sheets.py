@@ -84,7 +84,8 @@ def header_cells(cells: DataFrame, header_row: int) -> DataFrame:
 
 
 def sheet_pivot(cells: DataFrame, spec: FormatSpec = KARDEX, header_row: int | None = None,
-                sheets=None, drop_first_record: bool = False) -> DataFrame:
+                sheets=None, drop_first_record: bool = False, sheet_ix: int | None = None,
+                first_rows: int | None = None) -> DataFrame:
     """Rows of each sheet under its header row, one column per known header.
 
     Output: ``path, sheet_ix, sheet_name, row_ix`` + one column per spec column,
@@ -92,17 +93,25 @@ def sheet_pivot(cells: DataFrame, spec: FormatSpec = KARDEX, header_row: int | N
     sheets without a header row yield nothing.  Of several cells at one place
     the one with the least text counts.  ``drop_first_record``
     reproduces the variant that skipped the first record under the header.
+    ``sheet_ix`` reads the sheet at one position only.  ``first_rows`` keeps
+    the first rows of each sheet below its header: their cells are picked before
+    they are shuffled, by a group limit in every task.
     """
     hr = spec.header_row if header_row is None else header_row
     base = real_cells(cells)
     if sheets is not None:
         base = base.where(F.col("sheet_name").isin(list(sheets)))
+    if sheet_ix is not None:
+        base = base.where(F.col("sheet_ix") == sheet_ix)
     hdr = (header_cells(base, hr)
            .withColumn("h", ident_expr(F.col("header")))
            .groupBy(*SHEET_KEY, "h").agg(F.min("col_ix").alias("col_ix"))   # first of duplicate names
            .groupBy(*SHEET_KEY).agg(F.map_from_entries(F.collect_list(F.struct("h", "col_ix"))).alias("hmap")))
-    body = (base.where(F.col("row_ix") > hr)
-            .groupBy(*SHEET_KEY, "row_ix")
+    body = base.where(F.col("row_ix") > hr)
+    if first_rows is not None:
+        nth = F.dense_rank().over(Window.partitionBy(*SHEET_KEY).orderBy("row_ix"))
+        body = body.withColumn("_nth", nth).where(F.col("_nth") <= first_rows + int(drop_first_record)).drop("_nth")
+    body = (body.groupBy(*SHEET_KEY, "row_ix")
             .agg(F.array_sort(F.collect_list(F.struct("col_ix", "value"))).alias("_cells"))
             .withColumn("rmap", F.map_from_entries(F.filter(
                 "_cells", lambda x, i: (i == 0) | (F.get("_cells", i - 1)["col_ix"] != x["col_ix"]))))
@@ -128,6 +137,15 @@ def stack_sheets(frames) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def stack_layouts(rows: DataFrame, layouts: dict[str, list[str] | None], keep=("path", "sheet_name", "row_ix")) -> DataFrame:
+    """U1 in one pass over the rows of many sheets: those named by ``layouts``,
+    with NULL in the columns that a sheet's layout lacks (None: it has all)."""
+    columns = [c for c in rows.columns if c not in (*SHEET_KEY, "row_ix")]
+    lacking = {c: [s for s, have in layouts.items() if have is not None and c not in have] for c in columns}
+    return rows.where(F.col("sheet_name").isin(list(layouts))).select(
+        *keep, *[F.when(~F.col("sheet_name").isin(lacking[c]), F.col(c)).alias(c) if lacking[c] else F.col(c) for c in columns])
+
+
 # ---------------------------------------------------------------------------
 # S6 / S7 positional layout of the generic stacker
 # ---------------------------------------------------------------------------

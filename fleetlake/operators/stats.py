@@ -21,16 +21,19 @@ def _num(c: str, t: str):
 
 def fault_statistics(df: DataFrame, done_col: str = "completion_date", loc_col: str = "location",
                      mileage_col: str = "mileage", interco_col: str = "interco_amount",
-                     cost_col: str = "cost") -> DataFrame:
-    """A1-A5 as one row.  Sums are exact decimals (0 when all NULL); the mean
-    mileage skips NULLs and non-numbers (NULL when none)."""
+                     cost_col: str = "cost", extra=()) -> DataFrame:
+    """A1-A5 as one row.  Sums are exact decimals (0 when all NULL, NULL when
+    they overflow); the mean mileage skips NULLs and non-numbers (NULL when
+    none)."""
+    total = lambda c: F.when(F.count(_num(c, MONEY)) == 0, F.lit(0)).otherwise(F.try_sum(_num(c, MONEY))).cast(MONEY)
     return df.agg(
         F.count(F.lit(1)).alias("total_records"),
         F.count_if(F.col(done_col).isNull()).alias("active_faults"),
         F.count_distinct(F.col(loc_col)).alias("unique_locations"),
         F.round(F.avg(_num(mileage_col, "double")), 4).cast("decimal(20,4)").alias("avg_mileage"),
-        F.coalesce(F.try_sum(_num(interco_col, MONEY)), F.lit(0)).cast(MONEY).alias("total_intercost"),
-        F.coalesce(F.try_sum(_num(cost_col, MONEY)), F.lit(0)).cast(MONEY).alias("total_custcost"),
+        total(interco_col).alias("total_intercost"),
+        total(cost_col).alias("total_custcost"),
+        *extra,
     )
 
 
@@ -71,6 +74,13 @@ def fault_summary(df: DataFrame, done_col: str = "completion_date") -> DataFrame
     )
 
 
+def fault_record(df: DataFrame, data_type: str = "vehicle_fault", **kw) -> DataFrame:
+    """A11 with its statistics: what kind of data it is, the counts of
+    ``fault_summary`` and the scalars of ``fault_statistics``, from one scan."""
+    high = F.count_if(F.col("severity") == "high").alias("high_severity_faults")
+    return fault_statistics(df, extra=(high,), **kw).select(F.lit(data_type).alias("data_type"), "*")
+
+
 def group_summary(df: DataFrame, keys=("vehicle_type", "severity", "fault_category")) -> DataFrame:
     """Counts and exact cost per label group (the flagship report)."""
     cost = F.coalesce(F.col("cost").cast("string").try_cast(MONEY), F.lit(0).cast(MONEY))

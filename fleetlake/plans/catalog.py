@@ -19,6 +19,7 @@ from ..operators import clean, fault_log, labels, lifecycle, logs, prompts, qual
 from ..session import ensure_checkpoint_dir, table
 from ..sources import views
 from ..sources.books import books_view
+from ..sources.sinks import records_json
 from ..sources.workbook import Limits, admitted, header_rows, read_cells
 from ..spec import FAULT_TABLE_REQUIRED, KARDEX, ColumnSpec, FormatSpec, register_format
 from ..streaming import ingest
@@ -476,25 +477,27 @@ def q_sheet_columns(spark, sf):
 
 
 def q_sheet_sample(spark, sf):
-    return sheets.sheet_sample(sheets.sheet_pivot(cells(spark, sf), KARDEX), 4,
+    return sheets.sheet_sample(sheets.sheet_pivot(cells(spark, sf), KARDEX, first_rows=4), 4,
                                columns=["wo_no", "open_date", "job_description"])
 
 
 def q_records_json(spark, sf):
-    g = good(spark, sf).select("row_ix", "work_order", "date", "severity", "component", "fault_category")
-    return g.select("row_ix", F.to_json(F.struct("work_order", "date", "severity", "component", "fault_category"),
-                                        {"ignoreNullFields": "false"}).alias("json"))
+    return records_json(good(spark, sf), ["work_order", "date", "severity", "component", "fault_category"], keep=["row_ix"])
+
+
+def q_first_sheet(spark, sf):
+    """S3: the first sheet of each workbook."""
+    return sheets.sheet_pivot(cells(spark, sf), KARDEX, sheet_ix=0)
+
+
+def q_fault_record(spark, sf):
+    return stats.fault_record(good(spark, sf))
 
 
 def q_stack_sheets(spark, sf):
-    piv = sheets.sheet_pivot(cells(spark, sf), KARDEX)
-    frames = []
-    for i, seg in enumerate(views.SEGMENTS):
-        part = piv.where(F.col("sheet_name") == seg)
-        if i % 2 == 1:   # sheets laid out with the required columns only
-            part = part.select("path", "sheet_name", "row_ix", *[c.ident for c in KARDEX.columns if c.required])
-        frames.append(part.drop("sheet_ix"))
-    return sheets.stack_sheets(frames)
+    # every other sheet is laid out with the required columns only
+    required = [c.ident for c in KARDEX.columns if c.required]
+    return sheets.stack_layouts(sheets.sheet_pivot(cells(spark, sf), KARDEX), {seg: required if i % 2 else None for i, seg in enumerate(views.SEGMENTS)})
 
 
 def _error_kind(c):
@@ -615,5 +618,7 @@ QUERIES: dict[str, Query] = {
     "sheet_columns": q_sheet_columns,
     "sheet_sample": q_sheet_sample,
     "records_json": q_records_json,
+    "first_sheet": q_first_sheet,
+    "fault_record": q_fault_record,
     "stack_sheets": q_stack_sheets,
 }

@@ -820,3 +820,10 @@ SELECT unnest(['total_records', 'active_faults', 'high_severity_faults', 'unique
 UNION ALL SELECT 'categories', category, CAST(count(*) AS DECIMAL(38,4)) FROM good WHERE category IS NOT NULL GROUP BY category
 UNION ALL SELECT 'complaints_by_type', nature_of_complaint, CAST(count(*) AS DECIMAL(38,4)) FROM good WHERE nature_of_complaint IS NOT NULL GROUP BY nature_of_complaint
 UNION ALL SELECT 'fault_categories', fault_category, CAST(count(*) AS DECIMAL(38,4)) FROM good WHERE fault_category IS NOT NULL GROUP BY fault_category""")
+ORACLE["first_sheet"] = w(PIVOT, " SELECT * FROM piv WHERE sheet_ix = 0")
+ORACLE["fault_record"] = w(GOOD, """
+SELECT 'vehicle_fault' AS data_type, count(*) AS total_records, count(*) FILTER (WHERE completion_date IS NULL) AS active_faults, count(DISTINCT location) AS unique_locations,
+       CAST(round(avg(TRY_CAST(mileage AS DOUBLE)), 4) AS DECIMAL(20,4)) AS avg_mileage,
+       CAST(coalesce(sum(TRY_CAST(interco_amount AS DECIMAL(38,2))), 0) AS DECIMAL(38,2)) AS total_intercost, CAST(coalesce(sum(TRY_CAST(cost AS DECIMAL(38,2))), 0) AS DECIMAL(38,2)) AS total_custcost,
+       count(*) FILTER (WHERE severity = 'high') AS high_severity_faults
+FROM good""")

@@ -22,7 +22,8 @@ def export_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def records_json(df: DataFrame, cols=None) -> DataFrame:
-    """K3: one JSON object per row (NULL fields kept as ``null``)."""
+def records_json(df: DataFrame, cols=None, keep=()) -> DataFrame:
+    """K3: one JSON object per row (NULL fields kept as ``null``), beside the
+    columns ``keep``."""
     cols = cols or df.columns
-    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
+    return df.select(*keep, F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
