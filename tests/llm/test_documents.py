@@ -3,11 +3,13 @@ names, against brute force."""
 
 import collections
 import hashlib
+import heapq
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions
 
 from fleetlake.llm import minhash, mixing, packing, quality, repeats, sharding
 from llm_rows import DOCS, hard_rows
@@ -21,21 +23,62 @@ def test_mixing_is_earliest_deadline_first(spark, hard, nothing):
     assert sorted(r.position for r in got) == list(range(len(ROWS)))
     names = sorted({r[3] for r in ROWS}, key=lambda s: "" if s is None else "=" + s)
     weights = {"a": 3, "b": 1, "c": 1}
-    n = [max(1, round(weights.get(s, 0) / 5 * 10)) for s in names]
+    period = max(10, 8 * len(names))
+    n = [max(1, round(weights[s] / 5 * period)) if s in weights else 0 for s in names]
     total, following, slots = sum(n), [0] * len(n), collections.defaultdict(list)
     for t in range(total * 20):
-        _, i = min((-(-(k + 1) * total // n[i]), i) for i, k in enumerate(following) if k * total // n[i] <= t)
+        _, i = min((-(-(k + 1) * total // n[i]), i) for i, k in enumerate(following) if n[i] and k * total // n[i] <= t)
         slots[names[i]].append(t)
         following[i] += 1
         for j, k in enumerate(following):
             assert abs(k - (t + 1) * n[j] / total) < 1
-    for r in got:
+    mixed = sorted(got, key=lambda r: r.position)
+    some = [r for r in mixed if r.source in weights]
+    assert mixed[:len(some)] == some and [r.slot for r in some] == sorted(r.slot for r in some)
+    for r in some:
         assert r.slot == slots[r.source][r.block] and r.release <= r.slot < r.deadline
-    assert [r.slot for r in sorted(got, key=lambda r: r.position)] == sorted(r.slot for r in got)
+    rest = mixed[len(some):]  # sources without weight follow, one by one
+    assert [r.source for r in rest] == sorted([r.source for r in rest], key=lambda s: s or "") and all(r.slot is None and r.release is None and r.deadline is None for r in rest)
     assert mixing.mix_query(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
     assert sorted(map(str, mixing.mixed(hard).collect())) == sorted(map(str, hard.collect()))
 
 
+def test_mixing_of_any_number_of_sources(spark):
+    # 1500 sources, one with half of all rows, against a plain heap
+    docs = spark.range(6000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'hot', concat('s', pmod(id * 7919, 1499))) AS source", "concat('t', id) AS text").repartition(4)
+    got = mixing.mix_query(docs).collect()
+    assert sorted(r.position for r in got) == list(range(6000)) and [r.slot for r in sorted(got, key=lambda r: r.position)] == sorted(r.slot for r in got)
+    rows = collections.Counter(r.source for r in got)
+    names, all_ = sorted(rows), sum(v**0.5 for v in rows.values())
+    n = [max(1, round(rows[s] ** 0.5 / all_ * 8 * len(names))) for s in names]
+    total = sum(n)
+    released, due, slots = collections.defaultdict(list), [], {}
+    for i, m in enumerate(n):
+        for k in range(m):
+            released[k * total // m].append((-(-(k + 1) * total // m), i, k))
+    for t in range(total):
+        for job in released[t]:
+            heapq.heappush(due, job)
+        deadline, i, k = heapq.heappop(due)
+        assert t < deadline
+        slots[names[i], k] = t
+    place = {s: i for i, s in enumerate(names)}
+    for r in got:
+        m = n[place[r.source]]
+        assert r.slot == r.block // m * total + slots[r.source, r.block % m]
+
+
+def test_sources_without_weight_take_no_share(spark):
+    docs = spark.range(900).selectExpr("id AS doc_id", "if(id < 400, 'main', concat('z', id)) AS source", "concat('t', id) AS text")
+    keep = functions.struct("doc_id", "source")
+    got = sorted(mixing.mix(docs, keep, weights={"main": 1.0}).select("kept_as.*", "slot", "position").collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(900))
+    assert all(r.source == "main" and r.slot == r.position // 16 for r in got[:400]) and all(r.slot is None for r in got[400:])
+    # if no source weighs anything, all weigh the same
+    got = mixing.mix(docs, keep, weights={}).select("kept_as.*", "slot", "position").collect()
+    assert sorted(r.position for r in got) == list(range(900)) and all(r.slot is not None for r in got)
+
+
 def test_sharding_keeps_groups_together_and_is_balanced(spark, hard, nothing):
     got = sharding.shard_query(hard).collect()
     assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == sorted((str(x[0]), len((x[1] or "").encode()) + 8, zlib.crc32((x[1] or "").encode())) for x in ROWS)
