@@ -54,9 +54,11 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int =
     every = written(asked.select(F.col("code").alias("query")).distinct(), "open")
     # a query's bound is its worst distance so far, once it has k + 1 entries
     best, still = None, every.withColumn("bound", F.lit(2**30))
+    tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for radius in range(segment_bits + 1):
         masks = [sum(1 << b for b in ones) for ones in combinations(range(segment_bits), radius)]
-        probes = (still.select("query", "bound", F.posexplode("query").alias("segment", "own"))
+        # the open queries may be one small file, and each has many probes
+        probes = (still.repartition(tasks, "query").select("query", "bound", F.posexplode("query").alias("segment", "own"))
                   .select("query", "bound", "segment", F.explode(F.transform(F.from_json(F.lit(str(masks)), "array<int>"), lambda m: F.col("own").bitwiseXOR(m))).alias("value")))
         apart = F.zip_with("query", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         # the planner takes the probes for as few rows as the queries, so it is told not to broadcast them
