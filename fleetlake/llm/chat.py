@@ -10,7 +10,7 @@ back gives every turn as it was.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
@@ -35,25 +35,36 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     of their own; null roles and texts are empty.  ``loss`` lists the parts of
     ``formatted`` to learn, as (start, length) in UTF-8 bytes: every text of
     ``loss_role``, in order.  An empty table gives no row; other columns are
-    not read.  A conversation is one string, so it is built by one task, in
-    time proportional to its length."""
+    not read.  A conversation is one string, so it is built by one task; its
+    turns are folded in runs of 1000, as a growing array is copied each time."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    opens = ~F.lag("role").over(by_turn).eqNullSafe(F.col("role"))
-    closes = ~F.lead("role").over(by_turn).eqNullSafe(F.col("role"))
-    pieces = (rows.select("conv_id", "turn", "role", "text", F.row_number().over(by_turn).alias("ix"), opens.alias("opens"), closes.alias("closes"))
-              .select("conv_id", "ix", "role", escaped(F.col("text")).alias("body"),
-                      F.when(F.col("opens"), F.concat(F.lit(START), escaped(F.col("role"), True), F.lit("\n"))).otherwise(F.lit(SEP)).alias("before"),
-                      F.when(F.col("closes"), F.lit(END)).otherwise(F.lit("")).alias("after")))
-    size = F.octet_length("before") + F.octet_length("body") + F.octet_length("after")
-    earlier = Window.partitionBy("conv_id").orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
-    parts = pieces.select("conv_id", F.struct(
-        "ix", F.concat("before", "body", "after").alias("piece"), (F.col("role") == loss_role).alias("learn"),
-        (F.coalesce(F.sum(size).over(earlier), F.lit(0)) + F.octet_length("before")).cast("int").alias("start"),
-        F.octet_length("body").alias("length")).alias("part"))
-    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    return whole.select(
-        "conv_id", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("formatted"),
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    written_out = F.transform("turns", lambda t: F.struct(
+        t["role"].alias("role"), F.concat(F.lit(START), escaped(t["role"], True), F.lit("\n")).alias("head"), escaped(t["text"]).alias("body")))
+    part = "array<struct<piece: string, start: int, length: int, learn: boolean>>"
+    bound = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  (``value`` is worked out once)
+
+    def add(now: Column, t: Column) -> Column:
+        """A turn of the open block's role joins it; another ends it and opens its own."""
+        before = F.when(now["role"].isNull(), t["head"]).when(now["role"] == t["role"], F.lit(SEP)).otherwise(F.concat(F.lit(END), t["head"]))
+        return bound(before, lambda b: F.struct(
+            t["role"].alias("role"), (now["at"] + F.octet_length(b) + F.octet_length(t["body"])).alias("at"),
+            F.array_append(now["out"], F.struct(
+                F.concat(b, t["body"]).alias("piece"), (now["at"] + F.octet_length(b)).alias("start"),
+                F.octet_length(t["body"]).alias("length"), (t["role"] == loss_role).alias("learn"))).alias("out")))
+
+    def add_run(state: Column, r: Column) -> Column:
+        run = F.aggregate(F.slice("rows", r * 1000 + 1, 1000), F.struct(
+            state["role"].alias("role"), state["at"].alias("at"), F.array().cast(part).alias("out")), add)
+        return bound(run, lambda done: F.struct(
+            done["role"].alias("role"), done["at"].alias("at"), F.array_append(state["outs"], done["out"]).alias("outs")))
+
+    parts = F.aggregate(
+        F.expr("sequence(0, (size(rows) - 1) div 1000)").cast("array<int>"),
+        F.struct(F.lit(None).cast("string").alias("role"), F.lit(0).alias("at"), F.array().cast(f"array<{part}>").alias("outs")),
+        add_run, lambda state: F.flatten(state["outs"]))
+    return whole.select("conv_id", written_out.alias("rows")).select("conv_id", parts.alias("parts")).select(
+        "conv_id", F.concat(F.array_join(F.transform("parts", lambda p: p["piece"]), ""), F.lit(END)).alias("formatted"),
         F.transform(F.filter("parts", lambda p: p["learn"]), lambda p: F.struct(p["start"], p["length"])).alias("loss"))
 
 

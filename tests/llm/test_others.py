@@ -26,6 +26,22 @@ def test_chat_round_trip(spark):
     assert [r.conv_id for r in chat.chat_query(spark.createDataFrame([], TURNS)).collect()] == [-1]
 
 
+def test_chat_of_many_turns(spark):
+    # longer than one run of the fold, with blocks of one role over its ends
+    rng = random.Random(5)
+    rows = [(1, i, "user" if 900 < i < 1100 else rng.choice(["user", "assistant"]), f"<{i}>é") for i in range(2500)] + [(2, i, "user", "x") for i in range(2000)]
+    got = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame([(*r, "x", "y") for r in rows], TURNS)).collect()}
+    for conv in (1, 2):
+        want, spans, last = b"", [], None
+        for _, _, role, text in (r for r in rows if r[0] == conv):
+            want += b"<|im_sep|>" if role == last else (b"<|im_end|>\n" if last else b"") + f"<|im_start|>{role}\n".encode()
+            body = text.replace("<", "\\l").encode()
+            if role == "assistant":
+                spans.append((len(want), len(body)))
+            want, last = want + body, role
+        assert got[conv].formatted == (want + b"<|im_end|>\n").decode() and [tuple(s) for s in got[conv].loss] == spans
+
+
 def test_html_extraction(spark):
     page = "<html><body><nav><a href=/>home</a></nav><div class='cookie-notice'>We use cookies</div><div class='post-{0}'><h1>Title {0}</h1><p>Fish &amp; chips&nbsp; are <b>good</b> <div class=ad>Buy now</div><p>Second\n  block of text {0}<ul><li>one<li>two</ul></div><aside>side</aside><div id=comments><p>" + "great post " * 30 + "</p></div><footer>f</footer></body></html>"
     rows = [(i, "http://A.example/x", page.format(i), "clash", "clash") for i in range(5)] + [(9, None, None, "", ""), (10, "nothing", "", "", ""), (11, "http://b.example", "<p>just text", "", ""), (11, "http://b.example", "<p>just text", "", "")]
