@@ -18,11 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlake.llm._common import written
 from fleetlake.session import ship_code
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without main text, wherever they stand.
-DROPPED = frozenset("head title script style noscript template nav footer aside form button select textarea input label iframe object svg canvas math audio video dialog menu".split())
+DROPPED = frozenset("head title script style noscript template nav footer aside form button select textarea input iframe object svg canvas audio video dialog menu".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body div main section td center".split())
 #: A start tag of the key ends open elements of the value.
@@ -37,17 +38,25 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no)[_-]", re.I)
 #: Shares of a page's text above which an element, or the article in it, is not boilerplate by its name alone.
 SHARE, ARTICLE_SHARE = 0.9, 0.5
+#: Elements that only a whole class name or id tells to be boilerplate, not a part of one.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 hgroup p table caption thead tbody tfoot tr td th li dt dd blockquote pre figure figcaption span a b i em strong code mark q sub sup time cite".split())
+#: Names that comments of readers may have, and parts of articles too; the second ones only with a byline.
+REACTIONS = frozenset("responses reactions talkback".split())
+DEBATES = frozenset("feedback reviews discussion".split())
+#: Names within an element that tell who wrote it or when.
+BYLINE = re.compile(r"(?:^|[\s_-])(?:author|user|username|nick|avatar|byline|posted|reply|date|time|timestamp|votes?|likes?)(?:$|[\s_-])", re.I)
 #: Blocks that belong to the container that they stand beside.
-BESIDE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p ul ol dl table blockquote pre figure".split())
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "children", "dropped", "named", "size", "linked", "main")
+    __slots__ = ("tag", "path", "parent", "children", "dropped", "named", "size", "linked", "main", "reactions", "byline")
 
     def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, named: bool = False) -> None:
         self.tag, self.path, self.parent, self.dropped, self.named = tag, path, parent, dropped, named
         self.children: list[Node | str] = []
         self.size = self.linked = self.main = 0
+        self.reactions = self.byline = False
 
 
 def _noise(tag: str, attrs: dict[str, str | None], inside: set[str]) -> bool:
@@ -58,9 +67,15 @@ def _noise(tag: str, attrs: dict[str, str | None], inside: set[str]) -> bool:
     return False
 
 
+def _names(attrs: dict[str, str | None]) -> list[str]:
+    return f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()
+
+
 def _named_noise(tag: str, attrs: dict[str, str | None]) -> bool:
-    names = " ".join(n for n in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split() if not LAYOUT.search(n))
-    return tag not in ("html", "body", "article", "main") and bool(NOISE.search(names))
+    if tag in ("html", "body", "article", "main"):
+        return False
+    names = [n for n in _names(attrs) if not LAYOUT.search(n)]
+    return any(map(NOISE.fullmatch, names)) if tag in TEXTUAL else bool(NOISE.search(" ".join(names)))
 
 
 class Tree(HTMLParser):
@@ -89,6 +104,16 @@ class Tree(HTMLParser):
         classes = sorted({re.sub(r"\d+", "", c) for c in (known.get("class") or "").lower().split()} - {""})
         name = ".".join([tag, *classes])
         node = Node(tag, f"{self.at.path}/{name}" if tag in CONTAINERS else self.at.path, self.at, self.at.dropped or _noise(tag, known, inside), _named_noise(tag, known))
+        if tag in CONTAINERS or tag in ("ul", "ol"):
+            names = {n.lower() for n in _names(known)}
+            node.reactions = bool(names & (REACTIONS | DEBATES))
+            # beside the article they are comments in any case
+            node.byline = bool(names & REACTIONS) and not inside & {"article", "main"}
+        if tag in ("time", "cite") or any(map(BYLINE.search, _names(known))):
+            up = self.at
+            while up is not None:
+                up.byline = up.byline or up.reactions
+                up = up.parent
         self.at.children.append(node)
         self.at = node
 
@@ -131,7 +156,7 @@ class Tree(HTMLParser):
         whole = self.root.size
         for node in order:
             holds = whole and (node.size >= SHARE * whole or node.main >= ARTICLE_SHARE * whole)
-            node.dropped = node.dropped or (node.named and not holds) or (node.parent is not None and node.parent.dropped)
+            node.dropped = node.dropped or ((node.named or (node.reactions and node.byline)) and not holds) or (node.parent is not None and node.parent.dropped)
         for node in reversed(order):
             node.size = node.linked = 0
             if node.dropped:
@@ -241,14 +266,19 @@ def winning_paths(pages: DataFrame) -> DataFrame:
             .filter("place = 1").select("host", "path"))
 
 
-def main_text(pages: DataFrame, salts: int = 32) -> DataFrame:
+def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row for each page.
 
     A null or empty html, and a page without main text, give an empty text.  A
     null url is of the empty host.  Repeated rows each vote and each come back;
-    other columns are not read; an empty table gives no row.  Rows of a host are
-    dealt by ``salts`` parts, so a host with a third of all pages is no one
-    task's work."""
+    other columns are not read; an empty table gives no row.  Of paths with
+    equal votes the first in order wins.  A page is parsed whole by one task,
+    however long it is.
+
+    The winning paths, one for each host, are written first, so that Spark knows
+    their size: pages meet them where they lie as long as they can be broadcast,
+    and are sorted by host beyond that, where a host with a third of all pages
+    is split as a skewed partition."""
     ship_code()
 
     def texts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,6 +286,6 @@ def main_text(pages: DataFrame, salts: int = 32) -> DataFrame:
             out = [extract(h, p) for h, p in zip(part["html"], part["path"])]
             yield pd.DataFrame({"page_id": part["page_id"].astype("Int64"), "url": part["url"], "text": out, "n_chars": [len(t) for t in out]})
 
-    winners = winning_paths(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(salts)).cast("int"))
-    return rows.join(winners, ["host", "salt"], "left").select("page_id", "url", "html", "path").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+    winners = written(winning_paths(pages), "paths")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))
+    return rows.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInPandas(texts, "page_id long, url string, text string, n_chars long")

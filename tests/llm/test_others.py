@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlake.llm import chat, hamming, html, toxicity
@@ -81,6 +82,47 @@ def test_no_text_beside_or_inside_of_containers_is_lost(spark):
     assert html.extract(split, "html/div.wrap/section.s").split("\n\n") == ["Head", part + "1", part + "2"]
 
 
+PART = "a part with quite a lot of plain text in it, "
+
+
+@pytest.mark.parametrize("body, want", [
+    # names of parts of an article that only look like boilerplate
+    (f"<article><h2 class=related-work>Related work</h2><p>{PART}</p></article>", ["Related work", PART]),
+    (f"<article><p>{PART}</p><table class=share-price><tr><td>Price<td>3</table></article>", [PART, "Price", "3"]),
+    (f"<article><p class=notice-period>Three months</p><p>{PART}</p></article>", ["Three months", PART]),
+    (f"<article><p>{PART}</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <label>holds</label></p></article>", [PART, "So x=1 holds"]),
+    (f"<article><h2>Discussion</h2><section id=discussion><p>{PART}</p></section><p>{PART}</p></article>", ["Discussion", PART, PART]),
+    (f"<div class=page><p>{PART}</p><section id=discussion><p>{PART}</p></section></div>", [PART, PART]),
+    # and boilerplate
+    (f"<div class=page><p>{PART}</p></div><div id=discussion><div><time>1 May</time><p>Great post</p></div></div>", [PART]),
+    (f"<article><p>{PART}</p><p class=ad>Buy now</p></article>", [PART]),
+    (f"<article><p>{PART}</p></article><div id=responses><p>Great post</p><p>So true</p></div>", [PART]),
+    (f"<article><p>{PART}</p></article><div class=reactions><div><b>joe</b><p>Great post</p></div></div>", [PART]),
+    (f"<article><p>{PART}</p><div class=reactions><div><span class=user-name>joe</span><p>Great post</p></div></div></article>", [PART]),
+    (f"<article><p>{PART}</p></article><form><label>Name</label><p>Send</p></form>", [PART]),
+])
+def test_names_of_parts_of_articles_and_of_boilerplate(body, want):
+    whole = f"<body>{body}</body>"
+    expected = "\n\n".join(t.strip() for t in want)
+    assert html.extract(whole, html.vote(whole)[0]) == expected and html.extract(whole, None) == expected
+
+
+def test_lists_tables_and_quotes_beside_the_hosts_container_are_kept():
+    page = f"<body><div class=wrap><h1>Head</h1><ul><li>one</ul><section class=s><p>{PART}</p></section><blockquote>said</blockquote><table><tr><td>cell</table><ul><li><a href=/1>link</a></ul></div></body>"
+    assert html.extract(page, "html/div.wrap/section.s").split("\n\n") == ["Head", "one", PART.strip(), "said", "cell"]
+
+
+def test_of_paths_with_equal_votes_the_first_wins(spark):
+    rows = [(1, "http://t.example/", f"<main><p>{PART}</p></main>"), (2, "http://t.example/", f"<article><p>{PART}</p></article>")]
+    assert [r.path for r in html.winning_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == ["html/article"]
+
+
+def test_very_long_pages(spark):
+    page = "<body><nav>home</nav>" + "<div>" * 3000 + f"<p>{PART}</p>" * 20000 + "</div>" * 3000 + "</body>"
+    [row] = html.main_text(spark.createDataFrame([(1, "http://l.example/", page)], "page_id long, url string, html string")).collect()
+    assert row.text == "\n\n".join([PART.strip()] * 20000) and row.n_chars == len(row.text)
+
+
 def test_hamming_search_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(24)], "x") for i in range(300)]
