@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_datetime
 from ..functions.keywords import MODEL_CATEGORIES
-from ..operators import clean, fault_log, labels, lifecycle, logs, prompts, quality, query, sheets, stat_states, stats
+from ..operators import clean, fault_log, labels, lifecycle, log_store, logs, prompts, quality, query, sheets, stat_states, stats, work_store
 from ..session import ensure_checkpoint_dir, table
 from ..sources import views
 from ..sources.books import books_view
@@ -218,6 +218,30 @@ def q_page_after(spark, sf):
     return query.page_after(rows, None, 89, size=200)
 
 
+def _stored_orders(spark, sf):
+    folder = _stored_folder(spark, "work-orders")
+    work_store.store(good(spark, sf).select("work_order", "row_ix", "date", "location", "nature_of_complaint", "description", "next_recommendation", "severity"), folder, "work_order")
+    return folder
+
+
+def q_stored_page(spark, sf):
+    """O1 by the directory: the 101st page of 25."""
+    return work_store.page(spark, _stored_orders(spark, sf), 100, 25).select("work_order", "row_ix", "date")
+
+
+def q_stored_search(spark, sf):
+    """F11 by the index."""
+    folder = _stored_orders(spark, sf)
+    cols = ["work_order", "location", "nature_of_complaint", "description", "next_recommendation"]
+    work_store.index_text(spark, folder, cols)
+    return work_store.search(spark, folder, "Brake pads").select("row_ix", *cols)
+
+
+def q_stored_severity(spark, sf):
+    """F5 on the stored label."""
+    return query.faults_by_severity(work_store.read(spark, _stored_orders(spark, sf)), "high").select("row_ix", "severity", "description")
+
+
 def q_raw_row_validity(spark, sf):
     return quality.row_validity(prepared(spark, sf)).select("row_ix", "is_valid", "errors")
 
@@ -336,6 +360,15 @@ def q_log_retention(spark, sf):
     return _log_out(logs.log_retention(_app_log(spark, sf)))
 
 
+def q_log_store_retention(spark, sf):
+    """Entries in three batches, the oldest days last, then retention."""
+    folder, log = _stored_folder(spark, "log-store"), _app_log(spark, sf)
+    for part in (1, 2, 0):
+        log_store.append(log.where(F.col("log_id") % 3 == part), folder)
+    log_store.retain(spark, folder, 1000)
+    return _log_out(log_store.read(spark, folder))
+
+
 def q_logs_after(spark, sf):
     return _log_out(logs.logs_after(_app_log(spark, sf), 4999))
 
@@ -574,6 +607,9 @@ QUERIES: dict[str, Query] = {
     "vehicle_history": q_vehicle_history,
     "faults_by_category": q_faults_by_category,
     "faults_by_severity": q_faults_by_severity,
+    "stored_page": q_stored_page,
+    "stored_search": q_stored_search,
+    "stored_severity": q_stored_severity,
     "row_validity": q_row_validity,
     "raw_row_validity": q_raw_row_validity,
     "page_after": q_page_after,
@@ -595,6 +631,7 @@ QUERIES: dict[str, Query] = {
     "statistics_record": q_statistics_record,
     "latest_logs": q_latest_logs,
     "log_retention": q_log_retention,
+    "log_store_retention": q_log_store_retention,
     "logs_after": q_logs_after,
     "log_parse": q_log_parse,
     "log_stitch": q_log_stitch,

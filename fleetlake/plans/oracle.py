@@ -482,6 +482,13 @@ ORACLE["faults_by_category"] = w(GOOD, "SELECT row_ix, category, description FRO
 
 ORACLE["faults_by_severity"] = w(GOOD, "SELECT row_ix, severity, description FROM good WHERE severity = 'high'")
 
+ORACLE["stored_page"] = w(GOOD, """
+SELECT work_order, row_ix, date FROM good ORDER BY work_order ASC NULLS FIRST, row_ix LIMIT 25 OFFSET 2500""")
+ORACLE["stored_search"] = w(GOOD, """
+SELECT row_ix, work_order, location, nature_of_complaint, description, next_recommendation FROM good
+WHERE contains(lower(concat_ws(' ', work_order, location, nature_of_complaint, description, next_recommendation)), 'brake pads')""")
+ORACLE["stored_severity"] = ORACLE["faults_by_severity"]
+
 ORACLE["row_validity"] = w(CLEAN, "SELECT row_ix, errors = '' AS is_valid, errors FROM enr")
 
 ORACLE["raw_row_validity"] = w(CLEAN, """
@@ -568,6 +575,8 @@ ORACLE["log_retention"] = w(APP_LOG, """
 SELECT log_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts, message
 FROM (SELECT * FROM app_log ORDER BY log_id DESC LIMIT 1000)""")
 
+ORACLE["log_store_retention"] = ORACLE["log_retention"]
+
 ORACLE["logs_after"] = w(APP_LOG, """
 SELECT log_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts, message FROM app_log WHERE log_id > 4999""")
 
