@@ -18,6 +18,9 @@ frame: ``starts`` suffixes and the bytes that their prefixes cover.
    of the tree: a group of all suffixes that share ``length`` bytes.  A group
    whose left neighbours differ, or begin a frame, is a maximal repeat within
    its frames; longer repeats come as one group for each frame they cross.
+4. Every suffix is put into the innermost (longest) group that holds it.  What
+   is removed are the occurrences of these groups: an interval whose left
+   neighbours are all the same is covered by the group that begins before it.
 """
 
 from __future__ import annotations
@@ -159,6 +162,22 @@ def _scan(lcp: list[int], lo: list[int], hi: list[int], least: int) -> list[tupl
     return found
 
 
+def _innermost(ranks: list[int], groups: list[tuple[int, int, int]]) -> list[int]:
+    """For ascending ranks, the place in ``groups`` of the innermost group
+    (first, last, length) that holds each; -1 where there is none.  Groups lie
+    inside of each other or apart."""
+    order = sorted(range(len(groups)), key=lambda g: (groups[g][0], -groups[g][1]))
+    found, around, k = [], [], 0
+    for rank in ranks:
+        while k < len(order) and groups[order[k]][0] <= rank:
+            around.append(order[k])
+            k += 1
+        while around and groups[around[-1]][1] < rank:
+            around.pop()
+        found.append(around[-1] if around else -1)
+    return found
+
+
 def _shared(s: bytes, t: bytes) -> int:
     """How many bytes two strings share at their beginning."""
     n = min(len(s), len(t))
@@ -169,7 +188,7 @@ def _shared(s: bytes, t: bytes) -> int:
 
 def _suffix_array(cls: np.ndarray, contents: list[bytes], starts: np.ndarray, min_bytes: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """For frames sorted by class: frame and offset of the suffixes in order,
-    the bytes each shares with a neighbour at most, and the groups as
+    the length of the innermost group of each (0: none), and the groups as
     (first, last, length) of the order."""
     data = np.frombuffer(b"".join(contents), dtype=np.uint8)
     sizes = np.array([len(c) for c in contents])
@@ -194,16 +213,17 @@ def _suffix_array(cls: np.ndarray, contents: list[bytes], starts: np.ndarray, mi
     for (c, s, *_), (d, t, *_) in zip(suffixes, suffixes[1:]):
         lcp.append(_shared(s, t) if c == d else 0)
     left = [contents[f][o - 1] if o else 1000 + i for i, (_, _, f, o) in enumerate(suffixes)]
-    share = np.array([*lcp, 0])
-    share = np.maximum(share[:-1], share[1:])
-    return np.array([s[2] for s in suffixes]), np.array([s[3] for s in suffixes]), share, _scan(lcp, left, left, min_bytes)
+    groups = _scan(lcp, left, left, min_bytes)
+    lengths = np.array([*(g[2] for g in groups), 0])  # the last one for -1
+    return np.array([s[2] for s in suffixes]), np.array([s[3] for s in suffixes]), lengths[_innermost(range(len(suffixes)), groups)], groups
 
 
 def tree_rows(reps: DataFrame, min_bytes: int) -> DataFrame:
     """From different frames (cls, id, starts, content), the rows of each
     class's tree: suffixes (cls, rank, id, offset, length), ``length`` being
-    the longest repeat there, and groups (cls, rank, last_rank, length), which
-    hold the suffixes of their class with ranks from ``rank`` to ``last_rank``."""
+    that of the innermost group there, and groups (cls, rank, last_rank,
+    length), which hold the suffixes of their class with ranks from ``rank`` to
+    ``last_rank``."""
     ship_code()
 
     def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,11 +231,11 @@ def tree_rows(reps: DataFrame, min_bytes: int) -> DataFrame:
 
         def of(rows: pd.DataFrame) -> pd.DataFrame:
             cls, ids = rows["cls"].to_numpy(), rows["id"].to_numpy()
-            frame, offset, share, groups = _suffix_array(cls, rows["content"].tolist(), rows["starts"].to_numpy(), min_bytes, rolling)
+            frame, offset, longest, groups = _suffix_array(cls, rows["content"].tolist(), rows["starts"].to_numpy(), min_bytes, rolling)
             rank = np.arange(len(frame))
-            some = share >= min_bytes
+            some = longest > 0
             return pd.concat([
-                pd.DataFrame({"cls": cls[frame[some]], "rank": rank[some], "id": ids[frame[some]], "offset": offset[some], "last_rank": None, "length": share[some]}),
+                pd.DataFrame({"cls": cls[frame[some]], "rank": rank[some], "id": ids[frame[some]], "offset": offset[some], "last_rank": None, "length": longest[some]}),
                 pd.DataFrame({"cls": [cls[frame[g[0]]] for g in groups], "rank": [g[0] for g in groups], "id": None, "offset": None, "last_rank": [g[1] for g in groups], "length": [g[2] for g in groups]})]
                 ).astype({"rank": "Int64", "offset": "Int64", "last_rank": "Int64", "length": "Int64", "cls": "Int64"})
 
@@ -261,7 +281,7 @@ class _Border:
 
 
 TREE = "cls long, rank long, id binary, offset long, last_rank long, length long"
-SCANNED = f"{TREE}, part long, first long, last long, shared long, lo long, hi long, head binary, head_id binary, head_offset long, tail binary, tail_id binary, tail_offset long"
+SCANNED = f"{TREE}, part long, first long, last long, shared long, lo long, hi long, head binary, tail binary"
 #: Ranks of a part begin at its number times this.
 PART = 2**32
 
@@ -334,33 +354,29 @@ def wide_tree_rows(many: DataFrame, min_bytes: int) -> DataFrame:
             for i, (shared, _, first, end, lo, hi) in enumerate(runs.runs):
                 begins, finishes = at_start and i == 0, ends and i == len(runs.runs) - 1
                 out.append((cls, None, None, None, None, None, part_no, first, end, shared if i else 0, lo, hi,
-                            *(head if begins else none), *(last if finishes else none)))
+                            head if begins else None, last if finishes else None))
 
-        none, nothing = (None,) * 3, (None,) * 12
+        nothing = (None,) * 8
         columns = [c.split()[0] for c in SCANNED.split(", ")]
-        cls = held = head = None
-        held_share = 0
+        cls = left = head = None
         for rows in parts:
             for c, suffix, i, o, before in zip(rows["cls"], rows["suffix"], rows["id"], rows["offset"], rows["before"]):
-                shared = _shared(last[0], suffix) if cls == c else 0
+                shared = _shared(last, suffix) if cls == c else 0
                 shared = shared if shared >= min_bytes else 0
-                if held is not None:
-                    groups(shared, held[3])
-                    if max(held_share, shared):
-                        out.append((cls, rank, held[1], held[2], None, max(held_share, shared)) + nothing)
+                if left is not None:
+                    groups(shared, left)
                     if cls != c:
                         if at_start:
                             border(False)
                         at_start, runs = False, _Border()
                 rank += 1
-                cls, held, held_share, last = c, (suffix, i, o, before), shared, (suffix, i, o)
+                cls, left, last = c, before, suffix
                 head = last if rank == part_no * PART else head
                 runs.add(shared, rank, before)
+                out.append((cls, rank, i, o, None, None) + nothing)
             yield pd.DataFrame(out, columns=columns).astype(_types(SCANNED))
             out = []
-        if held is not None:
-            if held_share:
-                out.append((cls, rank, held[1], held[2], None, held_share) + nothing)
+        if left is not None:
             border(True)
             yield pd.DataFrame(out, columns=columns).astype(_types(SCANNED))
 
@@ -368,28 +384,36 @@ def wide_tree_rows(many: DataFrame, min_bytes: int) -> DataFrame:
         rows = rows.sort_values(["part", "first"], ignore_index=True)
         first, last, part = (rows[c].tolist() for c in ("first", "last", "part"))
         shared = rows["shared"].tolist()
-        heads, tails = (list(zip(rows[e].tolist(), rows[f"{e}_id"].tolist(), rows[f"{e}_offset"].tolist())) for e in ("head", "tail"))
+        heads, tails = rows["head"].tolist(), rows["tail"].tolist()
         cls, out = rows["cls"].iloc[0], []
         for i in range(1, len(rows)):
             if part[i] != part[i - 1]:
-                (s, *here), (t, *there) = tails[i - 1], heads[i]
-                n = _shared(s, t)
+                n = _shared(tails[i - 1], heads[i])
                 shared[i] = n if n >= min_bytes else 0
-                if shared[i]:
-                    out += [(cls, last[i - 1], *here, None, n), (cls, first[i], *there, None, n)]
         for a, b, length in _scan(shared, rows["lo"].tolist(), rows["hi"].tolist(), min_bytes):
             # others end inside of their part, which has listed them
-            if part[a] != part[b] or heads[a][0] is not None or tails[b][0] is not None:
+            if part[a] != part[b] or heads[a] is not None or tails[b] is not None:
                 out.append((cls, first[a], None, None, last[b], length))
         return pd.DataFrame(out, columns=["cls", "rank", "id", "offset", "last_rank", "length"]).astype(_types(TREE))
 
+    def put_in(members: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+        members = members.sort_values("rank", ignore_index=True)
+        known = list(zip(groups["rank"].tolist(), groups["last_rank"].tolist(), groups["length"].tolist()))
+        lengths = np.array([*(g[2] for g in known), 0])
+        members["length"] = lengths[_innermost(members["rank"].tolist(), known)] if len(members) else 0
+        return members[members["length"] > 0][["cls", "rank", "id", "offset", "last_rank", "length"]].astype(_types(TREE))
+
     order = ["cls", "suffix", "id", "offset"]
     parts = written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
                     .mapInPandas(scan, SCANNED), "scanned")
     rows = parts.filter("part is null").select("cls", "rank", "id", "offset", "last_rank", "length")
     # some runs for each part that a class lies in
     across = parts.filter("part is not null").groupBy("cls").applyInPandas(joined, TREE)
-    return rows.unionByName(across)
+    groups = written(rows.filter("id is null").unionByName(across), "groups")
+    # a part holds what one task has sorted, and at most two groups of each length go beyond it
+    members = rows.filter("id is not null").withColumn("part", F.expr(f"rank div {PART}"))
+    over = groups.withColumn("part", F.explode(F.expr(f"sequence(rank div {PART}, last_rank div {PART})")))
+    return groups.unionByName(members.groupBy("cls", "part").cogroup(over.groupBy("cls", "part")).applyInPandas(put_in, TREE))
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -403,11 +427,13 @@ def repeats(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> t
 
     - places (tid, lo, id): where frame ``id`` lies, for every frame that
       holds a repeat;
-    - suffixes (id, cls, rank, offset, length): a repeat of ``length`` bytes
-      begins ``offset`` bytes into the frame.  Rank null: the frame as a whole,
-      which lies in two or more places;
-    - groups (cls, rank, last_rank, length): maximal repeats, whose occurrences
-      are the suffixes of the class with these ranks, in all their places."""
+    - suffixes (id, cls, rank, offset, length): members of groups, which begin
+      ``offset`` bytes into the frame, with the length of the innermost group
+      that holds them.  Rank null: the frame as a whole, which lies in two or
+      more places;
+    - groups (cls, rank, last_rank, length, id): maximal repeats, whose
+      occurrences are the suffixes of the class with these ranks, in all their
+      places.  Ranks null: the places of frame ``id`` as a whole."""
     every = written(frames(texts, min_bytes, gram), "frames")
     again = every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
     whole = F.expr(f"starts - 1 + {min_bytes}")
@@ -425,19 +451,21 @@ def repeats(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> t
     if not several.filter(f"n_frames > {MANY_FRAMES}").isEmpty():
         tree = tree.unionByName(wide_tree_rows(written(named.filter(f"n_frames > {MANY_FRAMES}"), "many"), min_bytes))
     tree = written(tree, "tree")
-    # a suffix at the border of two parts has a row for either side
-    found = tree.filter("id is not null").groupBy("id", "cls", "rank", "offset").agg(F.max("length").alias("length")).select("id", "cls", "rank", "offset", "length")
+    found = tree.filter("id is not null").select("id", "cls", "rank", "offset", "length")
     many = different.filter("times > 1").select("id", F.col("anchor").alias("cls"), F.lit(None).cast("long").alias("rank"), F.lit(0).cast("long").alias("offset"), whole.cast("long").alias("length"))
-    return shared.select("tid", "lo", "id"), found.unionByName(many), tree.filter("id is null").select("cls", "rank", "last_rank", "length")
+    groups = tree.filter("id is null").select("cls", "rank", "last_rank", "length", "id")
+    return shared.select("tid", "lo", "id"), found.unionByName(many), groups.unionByName(many.select("cls", "rank", F.lit(None).cast("long").alias("last_rank"), "length", "id"))
 
 
 def removed_spans(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
     """(tid, spans): the maximal runs [start, end) of bytes of each distinct
     text that lie in a ``min_bytes``-byte string which starts anywhere else too,
-    in byte order.  Texts without such bytes have no row."""
-    places, suffixes, _ = repeats(texts, min_bytes, gram)
+    in byte order.  Texts without such bytes have no row.  They are what the
+    occurrences of all groups cover; each suffix counts with its innermost
+    group, as the others are shorter."""
+    places, members, _ = repeats(texts, min_bytes, gram)
     # for each frame, what begins at one place counts once, with its greatest length
-    here = suffixes.groupBy("id", "offset").agg(F.max("length").alias("length"))
+    here = members.groupBy("id", "offset").agg(F.max("length").alias("length"))
     runs = places.join(here, "id").select("tid", (F.col("lo") + F.col("offset")).alias("start"), (F.col("lo") + F.col("offset") + F.col("length")).alias("end"))
     full = texts.filter((F.col("copies") > 1) & (F.octet_length("bytes") >= min_bytes)).select("tid", F.lit(0).cast("long").alias("start"), F.octet_length("bytes").cast("long").alias("end"))
     runs = runs.unionByName(full)

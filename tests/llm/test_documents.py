@@ -188,6 +188,41 @@ def test_maximal_repeats_have_all_their_places(spark):
         assert len(found) >= 400 and len(want) > 1
 
 
+def test_groups_and_their_members_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    x, y = word(60), word(45)
+    texts = [word(9) + x + word(7), word(5) + x + y + word(3), word(8) + x[10:] + y[:30], word(6) + y + word(4), x[:35] + word(5), word(2) + x[:35] + word(8)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    least = 20
+    places, members, groups = repeats.repeats(repeats.distinct_texts(docs), least, 8)
+    text = {hashlib.md5(t.encode()).digest(): t for t in texts}
+    lies = collections.defaultdict(set)
+    for r in places.collect():
+        lies[bytes(r.id)].add((text[bytes(r.tid)], r.lo))
+    members, ranked = members.collect(), collections.defaultdict(dict)
+    for r in members:
+        if r.rank is not None:
+            ranked[r.cls][r.rank] = r
+    covered, longest = set(), {}
+    for g in groups.collect():
+        if g.rank is None:
+            starts = [(t, lo) for t, lo in lies[bytes(g.id)]]
+        else:
+            inside = [r for k, r in ranked[g.cls].items() if g.rank <= k <= g.last_rank]
+            starts = [(t, lo + r.offset) for r in inside for t, lo in lies[bytes(r.id)]]
+            for r in inside:
+                longest[g.cls, r.rank] = max(longest.get((g.cls, r.rank), 0), g.length)
+        spelled = {t[i : i + g.length] for t, i in starts}
+        assert len(spelled) == 1 and len(next(iter(spelled))) == g.length >= least and len(set(starts)) > 1
+        covered |= {(t, i + k) for t, i in starts for k in range(g.length)}
+    assert {(c, k): r.length for c, of in ranked.items() for k, r in of.items()} == longest
+    seen = collections.Counter(t[i : i + least] for t in set(texts) for i in range(len(t) - least + 1))
+    assert covered == {(t, i + k) for t in set(texts) for i in range(len(t) - least + 1) if seen[t[i : i + least]] > 1 for k in range(least)}
+
+
 def test_groups_of_a_common_passage_are_sorted_by_many_tasks(spark, monkeypatch):
     import random
 
@@ -200,6 +235,7 @@ def test_groups_of_a_common_passage_are_sorted_by_many_tasks(spark, monkeypatch)
     def groups(many):
         monkeypatch.setattr(repeats, "MANY_FRAMES", many)
         _, suffixes, found = repeats.repeats(repeats.distinct_texts(docs))
+        found = found.filter("rank is not null")
         places = collections.defaultdict(dict)
         for r in suffixes.filter("rank is not null").collect():
             assert r.rank not in places[r.cls]
