@@ -138,10 +138,11 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def _sql() -> str:
     common = ", ".join(f"('{lang}', {words})" for lang, words in COMMON_WORDS.items())
+    known = ", ".join(f"'{lang}'" for lang in COMMON_WORDS)
     shares = ", ".join(f"length(regexp_replace(text, '[^{c}]', '', 'g'))" for c in ("a-z", "\\x20\\x09-\\x0D", "\\x{80}-\\x{10FFFF}", "A-Z", "0-9", ".,;:!?''\"()-"))
     return rf"""
 WITH t AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE 'other' END AS lang FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, lang FROM documents
 ), w AS MATERIALIZED (
   SELECT rid, lang, unnest(words) AS word, generate_subscripts(words, 1) AS i
   FROM (SELECT rid, lang, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t)
@@ -169,6 +170,7 @@ WITH t AS MATERIALIZED (
   SELECT lang, kind, bin, sum(x) AS y FROM h GROUP BY ALL
 ), refs AS (
   SELECT lang, kind, bin, y / nullif(sum(y) OVER (PARTITION BY lang, kind), 0) AS b FROM sums
+  QUALIFY lang IN ({known}) OR sum(y) OVER (PARTITION BY lang, kind) >= {LEAST_CHARS}
 ), parts AS (
   SELECT rid, lang, kind, bin, x / nullif(sum(x) OVER (PARTITION BY rid, kind), 0) AS a FROM h
 ), distances AS (

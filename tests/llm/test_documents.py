@@ -113,7 +113,7 @@ def test_quality_counts(hard, nothing):
     assert kept.columns == hard.columns and kept.filter("doc_id = 12").isEmpty()
 
 
-def test_clean_text_of_any_language_is_kept(spark):
+def of_many_languages():
     import random
 
     rng = random.Random(6)
@@ -121,11 +121,28 @@ def test_clean_text_of_any_language_is_kept(spark):
     prose = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(150))
     langs = [("ru", cyrillic, 200)] + [("nl", latin, 200)] + [(None, latin, 10), (None, cyrillic, 3), ("other", latin, 5), ("uk", cyrillic, 2)]
     rows = [(lang, prose(letters)) for lang, letters, n in langs for _ in range(n)] + [("nl", prose(marks)), ("ru", prose(latin))]
-    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
+    return [(i, text, lang) for i, (lang, text) in enumerate(rows)]
+
+
+def test_clean_text_of_any_language_is_kept(spark):
+    rows = of_many_languages()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in quality.keep_good(docs).collect()}
     assert kept == set(range(len(rows) - 2))
 
 
+def test_sql_of_quality_rules_knows_all_languages(spark):
+    import duckdb
+    import pyarrow as pa
+
+    rows = of_many_languages()
+    got = quality.quality_query(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "lang": pa.array([r[2] for r in rows], pa.string())}))
+    cursor = con.execute(quality.QUALITY_SQL)
+    assert rows_of(got.columns, map(tuple, got.collect())) == rows_of([d[0] for d in cursor.description], cursor.fetchall())
+
+
 def components():
     sets = []
     for x in ROWS:
