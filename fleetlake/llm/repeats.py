@@ -44,6 +44,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 CHUNK = 300_000
 #: Frames of one anchor above which its suffixes are sorted by many tasks.
 MANY_FRAMES = 20_000
+#: Anchors that can each have more than this part of all rows are fewer than this.
+COMMON = 1000
 #: Starts that one look at their common bytes can rule out at once.
 SLICE = 32
 
@@ -422,6 +424,17 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return written(docs.select(F.unhex(F.md5(data)).alias("tid"), data.alias("bytes")).groupBy("tid").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies")), "texts")
 
 
+def _joined(rows: DataFrame, counts: DataFrame, n: str) -> DataFrame:
+    """``rows`` with their anchor's number of rows, ``counts`` (anchor, n).
+
+    Anchors with more than a thousandth of what ``counts`` holds are fewer than
+    ``COMMON`` and broadcast, so their rows stay where they lie; the rows of all
+    others meet in a join by anchor."""
+    least = F.lit((counts.agg(F.sum(n)).first()[0] or 0) // COMMON)
+    common = F.broadcast(counts.filter(F.col(n) > least))
+    return rows.join(common, "anchor").unionByName(rows.join(common, "anchor", "left_anti").join(counts.filter(F.col(n) <= least), "anchor"))
+
+
 def repeats(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The repeats of distinct texts (tid, bytes, copies), three tables:
 
@@ -435,14 +448,15 @@ def repeats(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> t
       occurrences are the suffixes of the class with these ranks, in all their
       places.  Ranks null: the places of frame ``id`` as a whole."""
     every = written(frames(texts, min_bytes, gram), "frames")
-    again = every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    again = every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1")
     whole = F.expr(f"starts - 1 + {min_bytes}")
     name = F.unhex(F.md5(F.concat_ws(",", "anchor", "f1", "f2", "starts").cast("binary")))
-    shared = written(every.join(again, "anchor").withColumn("id", name), "shared")
+    shared = written(_joined(every, written(again, "again"), "times").drop("times").withColumn("id", name), "shared")
     different = shared.groupBy("anchor", "id", "at", "starts").agg(F.count("*").alias("times"), F.min(F.struct("tid", "lo")).alias("one"))
     different = written(different, "different")
     several = different.groupBy("anchor").agg(F.count("*").alias("n_frames")).filter("n_frames > 1")
-    picked = different.join(several, "anchor")
+    several = written(several, "several")
+    picked = _joined(different, several, "n_frames")
     wanted = picked.groupBy(F.col("one.tid").alias("tid")).agg(F.collect_list(F.struct("anchor", "id", "at", "starts", "n_frames", F.col("one.lo").alias("lo"))).alias("f"))
     with_bytes = (texts.select("tid", "bytes").join(wanted, "tid").select("bytes", F.explode("f").alias("f")).select("f.*", "bytes")
                   .withColumn("content", F.expr(f"substring(bytes, cast(lo + 1 as int), starts - 1 + {min_bytes})")).drop("bytes"))
