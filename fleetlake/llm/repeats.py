@@ -451,7 +451,7 @@ def repeats(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> t
     again = every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1")
     whole = F.expr(f"starts - 1 + {min_bytes}")
     name = F.unhex(F.md5(F.concat_ws(",", "anchor", "f1", "f2", "starts").cast("binary")))
-    shared = written(_joined(every, written(again, "again"), "times").drop("times").withColumn("id", name), "shared")
+    shared = written(_joined(every, written(again, "again"), "times").withColumn("id", name).drop("times", "f1", "f2"), "shared")
     different = shared.groupBy("anchor", "id", "at", "starts").agg(F.count("*").alias("times"), F.min(F.struct("tid", "lo")).alias("one"))
     different = written(different, "different")
     several = different.groupBy("anchor").agg(F.count("*").alias("n_frames")).filter("n_frames > 1")
