@@ -70,3 +70,14 @@ def test_empty_stores_and_missing_ones(spark, rows, scratch):
     # storing again replaces what is read
     work_store.store(rows, scratch, "work_order")
     assert work_store.read(spark, scratch).count() == 2001
+
+
+def test_blocks_share_their_postings(spark, scratch):
+    """One posting for each trigram of a block, not one for each trigram of a row."""
+    rows = spark.range(4000).selectExpr("format_string('%06d', id) AS work_order", "id AS row_ix", "if(id = 3000, 'the one needle', 'brake pads worn') AS description")
+    work_store.store(rows, scratch, "work_order", ranges=2)
+    at = work_store.index_text(spark, scratch, ["description"])
+    postings = spark.read.parquet(work_store.batch_path(scratch, "postings", at))
+    assert postings.count() < 1000 and postings.count() >= postings.distinct().count() > 13 * 15
+    assert [r.row_ix for r in work_store.search(spark, scratch, "NEEDLE").collect()] == [3000]
+    assert work_store.search(spark, scratch, "Pads").count() == 3999
