@@ -366,7 +366,8 @@ def parse_members(members: DataFrame, limits: Limits = Limits(), partitions: int
             for m in _rows([batch.filter(wanted)]):
                 yield from member_cells(m, limits)
 
-    return _deal(members, partitions).mapInArrow(parse, CELL_SCHEMA + ", string_ix bigint")
+    sheets = members.where("kind <> 'strings'") if joins is None else members  # none else reads what is dealt
+    return _deal(sheets, partitions).mapInArrow(parse, CELL_SCHEMA + ", string_ix bigint")
 
 
 def shared_strings(members: DataFrame, partitions: int | None = None) -> DataFrame:
