@@ -137,8 +137,6 @@ def stitch_lines(lines: DataFrame) -> DataFrame:
 #: Position of a line's entry when it begins in an earlier split, or nowhere.
 ELSEWHERE = -1
 SPLIT = ["log", "file", "split_start"]
-#: What is known of the open entry of each log: where it begins, its time as text and its lines so far.
-OPEN_SCHEMA = "log string, entry_file string, entry_split long, entry_at long, ts string, lines long, seen timestamp"
 
 
 def file_lines(text: DataFrame) -> DataFrame:
@@ -161,44 +159,22 @@ def split_heads(lines: DataFrame) -> DataFrame:
             .select(*SPLIT, "n", (F.col("_last.id") - F.col("_first")).alias("at"), F.col("_last.ts").alias("ts"), "seen"))
 
 
-def _with_entries(heads: DataFrame, before: DataFrame | None) -> DataFrame:
-    """``heads`` with ``_own``, the entry that is open behind each split, and
-    ``_end``, the lines of the log up to there.  Open entries from ``before``
-    are splits of their own in front of all others."""
-    place = F.struct(F.col("file").alias("file"), F.col("split_start").alias("split"), F.col("at").alias("at"))
-    rows = heads.withColumn("_place", F.when(F.col("at").isNotNull(), place))
-    if before is not None:
-        rows = rows.unionByName(before.select(
-            "log", F.lit("").alias("file"), F.lit(-1).cast("long").alias("split_start"), F.col("lines").alias("n"), F.lit(0).cast("long").alias("at"), "ts", "seen",
-            F.struct(F.col("entry_file").alias("file"), F.col("entry_split").alias("split"), F.col("entry_at").alias("at")).alias("_place")))
-    w = Window.partitionBy("log").orderBy("file", "split_start")
-    rows = rows.withColumn("_end", F.sum("n").over(w))
-    return rows.withColumn("_own", F.when(F.col("_place").isNotNull(), F.struct(F.col("_place").alias("place"), F.col("ts").alias("ts"), (F.col("_end") - F.col("n") + F.col("at")).alias("number"))))
-
-
-def carried(heads: DataFrame, before: DataFrame | None = None) -> DataFrame:
+def carried(heads: DataFrame, key=SPLIT, apart=()) -> DataFrame:
     """``SPLIT, in_file, in_split, in_at, in_ts, in_lines``: for each split, place
     and time of the entry that is open at its beginning, and how many lines that
-    has by then.  ``before`` holds entries left open earlier (``OPEN_SCHEMA``).
-    A window over one row per split of a log."""
-    rows = _with_entries(heads, before)
-    w = Window.partitionBy("log").orderBy("file", "split_start").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.last("_own", ignorenulls=True).over(w)).where(F.col("split_start") >= 0)
-    return rows.select(*SPLIT, F.col("_in.place.file").alias("in_file"), F.col("_in.place.split").alias("in_split"), F.col("_in.place.at").alias("in_at"), F.col("_in.ts").alias("in_ts"),
+    has by then.  ``key`` names a split, and entries go on only where columns
+    ``apart`` are equal.  A window over one row per split of a log."""
+    w = Window.partitionBy("log", *apart).orderBy("file", "split_start")
+    rows = heads.withColumn("_end", F.sum("n").over(w))
+    place = F.struct(F.col("file").alias("file"), F.col("split_start").alias("split"), F.col("at").alias("at"))
+    own = F.struct(place.alias("place"), F.col("ts").alias("ts"), (F.col("_end") - F.col("n") + F.col("at")).alias("number"))
+    rows = rows.withColumn("_own", F.when(F.col("at").isNotNull(), own))
+    rows = rows.withColumn("_in", F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.select(*key, F.col("_in.place.file").alias("in_file"), F.col("_in.place.split").alias("in_split"), F.col("_in.place.at").alias("in_at"), F.col("_in.ts").alias("in_ts"),
                        (F.col("_end") - F.col("n") - F.col("_in.number")).alias("in_lines"))
 
 
-def open_entries(heads: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """The entry of each log that is open behind all splits (``OPEN_SCHEMA``);
-    logs without any prefixed line have none."""
-    rows = _with_entries(heads, before)
-    last = rows.groupBy("log").agg(F.max(F.struct(F.col("_own").isNotNull().alias("has"), "file", "split_start", "_own")).alias("m"), F.max("_end").alias("end"), F.max("seen").alias("seen"))
-    own = F.col("m._own")
-    return last.where(F.col("m.has")).select("log", own["place"]["file"].alias("entry_file"), own["place"]["split"].alias("entry_split"), own["place"]["at"].alias("entry_at"),
-                                             own["ts"].alias("ts"), (F.col("end") - own["number"]).alias("lines"), "seen")
-
-
-def _positions(lines: DataFrame) -> DataFrame:
+def positions(lines: DataFrame) -> DataFrame:
     """``SPLIT, at, own, ts, line``: each line's position in its split, and
     position and time of the last prefixed line up to it in the split.
 
@@ -232,34 +208,38 @@ def _positions(lines: DataFrame) -> DataFrame:
     return lines.select(*SPLIT, "id", "ts", "line").mapInArrow(run, schema)
 
 
-def entry_lines(lines: DataFrame, splits: DataFrame) -> DataFrame:
+def entry_lines(placed: DataFrame, heads: DataFrame, key=SPLIT, apart=()) -> DataFrame:
     """``log, entry_file, entry_split, entry_at, line_no, ts, line`` for each of
-    ``file_lines``, given ``carried`` splits: where its entry begins, its number
-    in the entry and the entry's time.
+    ``placed``, lines with their ``positions``, and ``heads``, one row per split
+    (see ``carried``): where its entry begins, its number in the entry and the
+    entry's time.  Columns of ``key`` besides ``SPLIT`` come last.
 
     A prefixed line has number 0 and stands without its prefix.  Lines before
     any prefix of a log are entries of their own, with a NULL time.  No entry is
-    gathered: lines stay where they are read and meet one row per split."""
-    rows = _positions(lines).join(splits, SPLIT)
+    gathered: lines stay where they are read and meet one row per split.  These
+    rows are written, so that Spark knows their size: it broadcasts them while
+    they are few and sorts both sides beyond that."""
+    spark = heads.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlake-splits-{uuid.uuid4().hex}"
+    splits = carried(heads, key, apart)
+    splits.write.parquet(path)
+    rows = placed.join(spark.read.schema(splits.schema).parquet(path), key)
     here, before = F.col("own") != ELSEWHERE, F.col("in_at").isNotNull()
     pick = lambda own, earlier, alone: F.when(here, own).when(before, earlier).otherwise(alone)
     return rows.select(
         "log", pick(F.col("file"), F.col("in_file"), F.col("file")).alias("entry_file"), pick(F.col("split_start"), F.col("in_split"), F.col("split_start")).alias("entry_split"),
         pick(F.col("own"), F.col("in_at"), F.col("at")).alias("entry_at"), pick(F.col("at") - F.col("own"), F.col("in_lines") + F.col("at"), F.lit(0).cast("long")).alias("line_no"),
         F.try_to_timestamp(F.coalesce("ts", "in_ts"), F.lit(TS_FORMAT)).alias("ts"),
-        F.when(here & (F.col("at") == F.col("own")), F.regexp_replace("line", HEAD, "")).otherwise(F.col("line")).alias("line"))
+        F.when(here & (F.col("at") == F.col("own")), F.regexp_replace("line", HEAD, "")).otherwise(F.col("line")).alias("line"),
+        *(c for c in key if c not in SPLIT))
 
 
 def read_entry_lines(spark: SparkSession, folder: str) -> DataFrame:
     """W1 on files of any size: the lines of all logs under ``folder`` with
     their entries (see ``entry_lines``).  The text is scanned twice, first for
-    one row per split.  These rows are written, so that Spark knows their size:
-    it broadcasts them while they are few and sorts both sides beyond that."""
+    one row per split."""
     lines = file_lines(spark.read.text(folder, recursiveFileLookup=True))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlake-splits-{uuid.uuid4().hex}"
-    splits = carried(split_heads(lines))
-    splits.write.parquet(path)
-    return entry_lines(lines, spark.read.schema(splits.schema).parquet(path))
+    return entry_lines(positions(lines), split_heads(lines))
 
 
 def latest_logs(logs: DataFrame, n: int = INITIAL_PAGE, id_col: str = "log_id") -> DataFrame:

@@ -6,10 +6,10 @@ rows, rejected rows and sheet counts are written to ``batch=<id>`` folders and
 published together (``published``), so readers never see part of a batch.
 
 Logs: a text file stream.  An entry may go on in the next file of its log, and
-that file may come in a later micro-batch.  The stream's state is one row per
-log, the entry that is open behind all files so far; it is written with each
-batch and read by the next.  Lines are never gathered: they meet the state as
-the rows of the batch reader meet the splits before them.
+that file may come in another micro-batch, later or earlier: the file source
+takes files by their times, and files of one time in any order.  So a batch
+publishes lines with their positions in their splits, and one row per split;
+lines meet the entries that go on from other splits when they are read.
 
 The file source's checkpoint records which files were seen, so a restart never
 processes a file twice, and a batch that was cut off is written again over its
@@ -31,6 +31,7 @@ from .published import batch_path, publish, published, read_published
 
 POSITION = ("path", "sheet_name", "row_ix")
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+KNOWN_SCHEMA = "log string, since long, seen timestamp"
 
 
 def process_workbook_batch(files: DataFrame, out: str, batch_id: int, spec: FormatSpec = KARDEX) -> None:
@@ -63,33 +64,37 @@ def workbook_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
 
 
 def process_log_batch(text: DataFrame, out: str, batch_id: int, forget_after: str | None = None) -> None:
-    """One micro-batch of log lines -> ``lines`` with their entries, and ``open``,
-    the entry that each log is in.  The state is that of the last batch before
-    this one that was published."""
+    """One micro-batch of log lines -> ``positions`` of lines, ``splits``, and
+    ``known``, one row per log: when it was seen last, and since which batch its
+    entries go on.  The state is that of the last batch before this one that
+    was published."""
     spark = text.sparkSession
     earlier = [i for i in published(spark, out) if i < batch_id]
-    before = spark.read.schema(L.OPEN_SCHEMA).parquet(batch_path(out, "open", earlier[-1])) if earlier else spark.createDataFrame([], L.OPEN_SCHEMA)
+    known = spark.read.schema(KNOWN_SCHEMA).parquet(batch_path(out, "known", earlier[-1])) if earlier else spark.createDataFrame([], KNOWN_SCHEMA)
     lines = L.file_lines(text)
     heads = L.split_heads(lines)
+    heads.write.mode("overwrite").parquet(batch_path(out, "heads", batch_id))
+    heads = spark.read.schema(heads.schema).parquet(batch_path(out, "heads", batch_id))
     if forget_after is not None:  # by the files' times, so that a repeated batch decides alike
         now = heads.agg(F.max("seen")).first()[0]
-        before = before.where(F.lit(now).isNull() | (F.col("seen") >= F.lit(now) - F.expr(f"interval {forget_after}")))
-    splits = L.carried(heads, before)  # written, so that its size is known to the join
-    splits.write.mode("overwrite").parquet(batch_path(out, "splits", batch_id))
-    splits = spark.read.schema(splits.schema).parquet(batch_path(out, "splits", batch_id))
-    L.entry_lines(lines, splits).write.mode("overwrite").parquet(batch_path(out, "lines", batch_id))
-    L.open_entries(heads, before).write.mode("overwrite").parquet(batch_path(out, "open", batch_id))
-    publish(spark, out, batch_id, ["lines", "open"])
+        known = known.where(F.lit(now).isNull() | (F.col("seen") >= F.lit(now) - F.expr(f"interval {forget_after}")))
+    since = F.coalesce("since", F.lit(batch_id).cast("long")).alias("since")
+    heads.join(known.drop("seen"), "log", "left").select(*heads.columns, since).write.mode("overwrite").parquet(batch_path(out, "splits", batch_id))
+    (known.unionByName(heads.select("log", F.lit(None).cast("long").alias("since"), "seen"))
+     .groupBy("log").agg(F.max("since").alias("since"), F.max("seen").alias("seen")).select("log", since, "seen")
+     .write.mode("overwrite").parquet(batch_path(out, "known", batch_id)))
+    L.positions(lines).write.mode("overwrite").parquet(batch_path(out, "positions", batch_id))
+    publish(spark, out, batch_id, ["positions", "splits", "known"])
 
 
 def entry_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, available_now: bool = True, max_files: int | None = None, forget_after: str | None = None):
     """Start the log ingest line by line; returns the query.  ``read_output(spark, out,
     "lines")`` gives every line with its entry, as the batch reader
-    ``read_entry_lines`` does.
+    ``read_entry_lines`` does, in whatever order the files of a log come.
 
-    Files of a log are taken as they come and must sort in that order.  A log
-    that got no file for ``forget_after`` (such as '2 days', by the files' times)
-    is forgotten: lines that come without a prefix then are entries of their own."""
+    A log that got no file for ``forget_after`` (such as '2 days', by the files'
+    times) is forgotten: lines that come without a prefix then are entries of
+    their own."""
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -114,5 +119,10 @@ def log_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, avai
 
 
 def read_output(spark: SparkSession, out: str, part: str = "good", schema: str | None = None) -> DataFrame:
-    """Everything that a stream has published so far (all finished batches)."""
-    return read_published(spark, out, part, schema)
+    """Everything that a stream has published so far (all finished batches).
+    The part ``lines`` of a log stream is made from its positions and splits."""
+    if part != "lines" or not published(spark, out):
+        return read_published(spark, out, part, schema)
+    placed = read_published(spark, out, "positions")  # first, so that the splits of all its batches are there
+    lines = L.entry_lines(placed, read_published(spark, out, "splits"), [*L.SPLIT, "batch"], ["since"])
+    return lines if schema is None else lines.select(*spark.createDataFrame([], schema + ", batch long").columns)

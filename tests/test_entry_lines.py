@@ -99,6 +99,18 @@ def test_stream_equals_batch_when_batches_cut_entries(spark, scratch):
     assert found(ingest.read_output(spark, out, "lines")) == expected(folder)
 
 
+def test_stream_equals_batch_when_files_come_in_any_order(spark, scratch):
+    folder, out, ck = (os.path.join(scratch, d) for d in ("logs", "out", "ck"))
+    write_logs(folder, seed=11)
+    for log in os.listdir(folder):  # the last file is the oldest
+        for i in range(4):
+            os.utime(os.path.join(folder, log, f"part-{i}.log"), (10**9 - i * 10,) * 2)
+    ingest.entry_stream(spark, folder, out, ck, max_files=5).awaitTermination()
+    lines = ingest.read_output(spark, out, "lines")
+    assert lines.select("batch").distinct().count() > 2
+    assert found(lines) == expected(folder)
+
+
 def test_a_log_that_is_idle_for_long_is_forgotten(spark, scratch):
     folder, out = os.path.join(scratch, "logs"), os.path.join(scratch, "out")
     for log, days in (("old", 9), ("new", 1)):
